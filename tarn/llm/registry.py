@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tarn.llm import matroska, packing
+from tarn.llm import matroska, packing, secret_scan, warc
 
 QUERIES = {
+    "op4_secrets": secret_scan.op4_secrets,
+    "op7_warc": warc.op7_warc,
     "op9_packing": packing.op9_packing,
     "op10_matroska": matroska.op10_matroska,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_secrets": secret_scan.OP4_SQL, "op7_warc": warc.OP7_SQL}
