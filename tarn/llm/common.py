@@ -63,9 +63,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
-def array_of(df: DataFrame, size: int, index: str, value: str, default: float = 0.0) -> Column:
-    """A (index, value) table of at most ``size`` rows as one array, by a scalar subquery: every index from 0 to size-1."""
-    spark = df.sparkSession
-    full = spark.range(size).join(df.select(F.col(index).cast("long").alias("id"), F.col(value).cast("double").alias("_v")), "id", "left")
-    one = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("_v", F.lit(default)).alias("v")))), lambda x: x["v"]).alias("w"))
-    return one.scalar()
+def array_literal(values: list[float]) -> Column:
+    """A bounded array of numbers as one constant, parsed once when the plan is made."""
+    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")

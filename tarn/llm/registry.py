@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarn.llm import matroska, packing, secret_scan, warc
+from tarn.llm import matroska, packing, quality_classifier, secret_scan, warc
 
 QUERIES = {
+    "op3_quality": quality_classifier.op3_quality,
     "op4_secrets": secret_scan.op4_secrets,
     "op7_warc": warc.op7_warc,
     "op9_packing": packing.op9_packing,
