@@ -63,6 +63,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
-def array_literal(values: list[float]) -> Column:
+def array_literal(values: list[float], kind: str = "double") -> Column:
     """A bounded array of numbers as one constant, parsed once when the plan is made."""
-    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast(f"array<{kind}>")
