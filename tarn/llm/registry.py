@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarn.llm import matroska, packing, quality_classifier, quality_rules, secret_scan, warc
+from tarn.llm import matroska, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_quality": quality_classifier.op3_quality,
     "op4_secrets": secret_scan.op4_secrets,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_matroska": matroska.op10_matroska,
 }
-ORACLES = {"op2_quality_rules": quality_rules.OP2_SQL, "op4_secrets": secret_scan.OP4_SQL, "op7_warc": warc.OP7_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL, "op4_secrets": secret_scan.OP4_SQL, "op7_warc": warc.OP7_SQL}
