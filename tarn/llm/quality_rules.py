@@ -21,13 +21,17 @@ MIX_A, MIX_B = 1_000_003, 31
 
 def n_repeat_words(ws: Column) -> Column:
     """Words in three-word windows that the text has twice or more. The windows are sorted with their places only where one repeats."""
+    return common.let(ws, _repeat_words)
+
+
+def _repeat_words(ws: Column) -> Column:
     n = F.size(ws)
     at = lambda i: F.element_at(ws, i)
     windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2)))
 
     def covered(win: Column) -> Column:
         def marked(s: Column) -> Column:
-            same = lambda k: F.get(s["w"], k)
+            same = lambda k: F.get(s, k)["w"]
             twin = lambda x, k: F.coalesce(x["w"] == same(k - 1), F.lit(False)) | F.coalesce(x["w"] == same(k + 1), F.lit(False))
             return F.array_sort(F.transform(F.filter(s, twin), lambda x: x["i"]))
 
