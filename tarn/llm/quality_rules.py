@@ -20,26 +20,30 @@ MIX_A, MIX_B = 1_000_003, 31
 
 
 def n_repeat_words(ws: Column) -> Column:
-    """Words in three-word windows that the text has twice or more. The windows are sorted with their places only where one repeats."""
+    """Words in three-word windows that the text has twice or more. Windows whose hash repeats are spelt out and compared."""
     return common.let(ws, _repeat_words)
 
 
-def _repeat_words(ws: Column) -> Column:
-    n = F.size(ws)
-    at = lambda i: F.element_at(ws, i)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2)))
+def _twins(placed: Column) -> Column:
+    """Places i of the sorted (w, i) whose w a neighbour has too."""
+
+    def of(s: Column) -> Column:
+        same = lambda x, k: F.coalesce(x["w"] == F.get(s, k)["w"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
-    def covered(win: Column) -> Column:
-        def marked(s: Column) -> Column:
-            same = lambda k: F.get(s, k)["w"]
-            twin = lambda x, k: F.coalesce(x["w"] == same(k - 1), F.lit(False)) | F.coalesce(x["w"] == same(k + 1), F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, twin), lambda x: x["i"]))
+    return common.let(F.sort_array(placed), of)
 
-        placed = F.sort_array(F.transform(win, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-        return F.aggregate(common.let(placed, marked), start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
 
-    return F.when(n < 4, F.lit(0)).otherwise(common.let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))))
+def _repeat_words(ws: Column) -> Column:
+    n = F.size(ws)
+    at = lambda i: F.element_at(ws, i)
+    hashes = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+    placed = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("w"), (i + 1).alias("i")))
+    spelt = lambda places: F.transform(places, lambda i: F.struct(F.concat_ws(" ", at(i), at(i + 1), at(i + 2)).alias("w"), i.alias("i")))
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+    covered = lambda places: F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
+    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(_twins(spelt(_twins(placed(h))))))
+    return F.when(n < 4, F.lit(0)).otherwise(common.let(hashes, found))
 
 
 def base_rules(text: Column, ws: Column) -> dict[str, Column]:
