@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarn.llm import matroska, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, warc
+from tarn.llm import matroska, mixing, near_dedup, packing, passages, quality_classifier, quality_rules, secret_scan, warc
 
 QUERIES = {
+    "op5_passages": passages.op5_passages,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
