@@ -5,8 +5,8 @@ coordinate k; both are bijective mixers, so two permutations serve all coordinat
 are one node from the start. BANDS bands of ROWS coordinates miss a pair at the threshold with a chance under
 1e-9 at 0.85 and under 1e-7 at 0.8.
 
-Buckets may be large, so their pairs are never listed. Each bucket compares its members with its least member p
-(a star); that gives each member's sizes a = |x - p| and r = |p - x|. Two members x, y that are not yet in one
+Buckets may be large, so their pairs are never listed. Each bucket compares its members with one member p (a
+star), the one whose buckets are fullest over all bands: among edited copies that is the least edited. That gives each member's sizes a = |x - p| and r = |p - x|. Two members x, y that are not yet in one
 component can be linked only if a(x) + a(y) + |r(x) - r(y)| is small enough, or if they share a shingle that p
 lacks. Only such pairs are confirmed, so a family of copies around p costs a row for each copy, not for each pair.
 No candidate is capped or dropped.
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        last: dict[str, list] = {}
+        last: dict[bytes, list] = {}
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 if not len(own):
                     rows.append((0, None, None))
                     continue
-                key = xxhash.xxh3_128_hexdigest(own.tobytes())
+                key = xxhash.xxh3_128_digest(own.tobytes())
                 if key not in last:  # copies often stand together
                     if len(last) > 2000:
                         last.clear()
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             yield out.astype({"doc_id": pdf["doc_id"].dtype})
 
     common.short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, key string, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def _bit(ident: Column, log2: int) -> Column:
@@ -134,11 +134,11 @@ def _sets(docs: DataFrame, k: int, holders: DataFrame) -> DataFrame:
 
         for pdf in batches:
             own = [shingle_set(t, k) for t in pdf["text"]]
-            yield pd.DataFrame({"key": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in own], "s": [s.view(np.int64) for s in own]})
+            yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "s": [s.view(np.int64) for s in own]})
 
     holders = common.stored(holders, "holders")
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(_maybe_in(holders, "doc_id") | F.col("doc_id").isNull())
-    made = near.select("text").mapInPandas(run, "key string, s array<long>")
+    made = near.select("text").mapInPandas(run, "key binary, s array<long>")
     made = common.stored(made, "sets-all")
     return common.stored(made.join(holders.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
@@ -157,8 +157,11 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
     """Components (node, comp) of the keys that have a link. ``signed`` is the written table of signatures."""
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     banded = common.stored(nodes.select("key", F.explode("bands").alias("band")), "bands")
-    least = common.stored(banded.groupBy("band").agg(F.min("key").alias("p"), F.count("*").alias("k")).where("k > 1").select("band", "p"), "pivots")
-    stars = common.stored(banded.join(least, "band").where("key <> p").select("p", F.col("key").alias("x")).distinct(), "stars")
+    full = common.stored(banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "buckets")
+    crowded = common.stored(banded.join(full, "band"), "crowded")
+    weight = common.stored(crowded.groupBy("key").agg(F.sum("k").alias("w")), "weights")
+    least = common.stored(crowded.join(weight, "key").groupBy("band").agg(F.max_by("key", "w").alias("p")), "pivots")
+    stars = common.stored(crowded.join(least, "band").where("key <> p").select("p", F.col("key").alias("x")).distinct(), "stars")
     at = stars.select(F.explode(F.array("p", "x")).alias("key")).distinct()
     holders = at.join(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key")
     sets = _sets(docs, k, holders)
@@ -180,11 +183,13 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
     both = (F.col("cx1") != F.col("cx2")) & (~F.col("out2") | (F.col("x1") < F.col("x2")))
     gap = lambda shared: (F.col("a1") + F.col("a2") + F.abs(F.col("r1") - F.col("r2")) - 2 * shared) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
     bare = L.join(R, (L["p"] == R["p"]) & both & gap(F.lit(0))).select("x1", "x2")
-    held = mixed.select(*slim, F.explode("extra").alias("e"))
-    twice = held.groupBy("p", "e").agg(F.count("*").alias("k"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("k > 1 and lo <> hi").select("p", "e")
+    held = mixed.select("p", "x", "cx", "out", F.explode("extra").alias("e"))
+    twice = held.groupBy("p", "e").agg(F.count("*").alias("k"), F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.max("out").alias("any")).where("k > 1 and lo <> hi and any").select("p", "e")
     held = common.stored(held.join(twice, ["p", "e"], "left_semi"), "shared")
     L, R = side(held.where("out"), "1"), side(held, "2")
-    met = L.join(R, (L["p"] == R["p"]) & (L["e"] == R["e"]) & both).groupBy(L["p"], "x1", "x2", "n1", "n2", "a1", "a2", "r1", "r2").agg(F.count("*").alias("o"))
+    met = L.join(R, (L["p"] == R["p"]) & (L["e"] == R["e"]) & both).groupBy(L["p"], "x1", "x2").agg(F.count("*").alias("o"))
+    size = lambda t: side(mixed.select("p", "x", "n", "a", "r"), t)
+    met = met.join(size("1"), ["p", "x1"]).join(size("2"), ["p", "x2"])
     more = common.stored(bare.union(met.where(gap(F.col("o"))).select("x1", "x2")).distinct(), "more-pairs")
     sure = _sized(more, sets, "x1", "x2").withColumn("i", F.size(F.array_intersect("sl", "sr"))).where(_linked(F.col("i"), F.size("sl"), F.size("sr"), percent)).select(F.col("x1").alias("u"), F.col("x2").alias("v"))
     return graph.components(seen.where("near").select(F.col("p").alias("u"), F.col("x").alias("v")).union(sure))
