@@ -37,22 +37,25 @@ def _twins(placed: Column) -> Column:
 def _repeat_words(ws: Column) -> Column:
     n = F.size(ws)
     at = lambda i: F.element_at(ws, i)
+    few = 32  # repeated hashes that are looked up one by one; more are found by sorting all windows
     hashes = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
     placed = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("w"), (i + 1).alias("i")))
     spelt = lambda places: F.transform(places, lambda i: F.struct(F.concat_ws(" ", at(i), at(i + 1), at(i + 2)).alias("w"), i.alias("i")))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = lambda places: F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(_twins(spelt(_twins(placed(h))))))
+    twice = lambda s: F.array_distinct(F.filter(s, lambda x, k: F.coalesce(x == F.get(s, k + 1), F.lit(False))))
+    holds = lambda h, d: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i + 1)), lambda i: i.isNotNull())
+    places = lambda h: common.let(common.let(F.sort_array(h), twice), lambda d: F.when(F.size(d) <= few, holds(h, d)).otherwise(_twins(placed(h))))
+    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(_twins(spelt(places(h)))))
     return F.when(n < 4, F.lit(0)).otherwise(common.let(hashes, found))
 
 
 def base_rules(text: Column, ws: Column) -> dict[str, Column]:
-    bare = F.translate(text, common.SPACES, "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, common.SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(ws).cast("long"),
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": common.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": n_repeat_words(ws).cast("long"),
     }
@@ -60,18 +63,18 @@ def base_rules(text: Column, ws: Column) -> dict[str, Column]:
 
 def word_hash(word: Column) -> Column:
     """The first seven hex digits of the word's md5, as a number."""
-    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int")
 
 
-def ngram_buckets(ws: Column) -> Column:
-    """Bucket of each one- and two-word n-gram, in the order of the text."""
+def ngram_buckets(hashes: Column) -> Column:
+    """Bucket of each one- and two-word n-gram, from the hashes of the words in the order of the text."""
 
     def of(h: Column) -> Column:
-        ones = F.transform(h, lambda x: (x % BUCKETS).cast("int"))
+        ones = F.transform(h, lambda x: x % BUCKETS)
         m = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.concat(ones, F.zip_with(F.slice(h, 1, m), F.slice(h, 2, m), lambda a, b: ((a * MIX_A + b * MIX_B + 7) % BUCKETS).cast("int")))
+        return F.concat(ones, F.zip_with(F.slice(h, 1, m), F.slice(h, 2, m), lambda a, b: ((a * F.lit(MIX_A).cast("long") + b * F.lit(MIX_B).cast("long") + 7) % BUCKETS).cast("int")))
 
-    return common.let(F.transform(ws, word_hash), of)
+    return common.let(hashes, of)
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -79,12 +82,12 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TARGET_DOCS)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
-    """The weight of each bucket. Counts cover every text; the driver gets one row a bucket."""
-    flagged = docs.select("doc_id", "text").join(F.broadcast(target_ids(labels).withColumn("_good", F.lit(1))), "doc_id", "left")
-    grams = flagged.select("_good", F.explode(ngram_buckets(common.words(common.text_of("text")))).alias("b"))
+def log_ratios(read: DataFrame, labels: DataFrame) -> list[int]:
+    """The weight of each bucket, from (doc_id, _h). Counts cover every text; the driver gets one row a bucket."""
+    flagged = read.select("doc_id", "_h").join(F.broadcast(target_ids(labels).withColumn("_good", F.lit(1))), "doc_id", "left")
+    grams = flagged.select("_good", F.explode(ngram_buckets(F.col("_h"))).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
-    full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good")).toPandas().sort_values("b")
+    full = read.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good")).toPandas().sort_values("b")
     import numpy as np
 
     share = lambda c: np.log((c + SMOOTH) / (c.sum() + SMOOTH * BUCKETS))
@@ -92,17 +95,18 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds the base counts, base_failed, llr and kept to ``docs``."""
-    weights = common.array_literal(log_ratios(docs, labels), "int")
+    """doc_id with the base counts, base_failed, llr and kept, a row for each row of ``docs``. The texts are read once: the counts and the hashes of the words are written."""
     text = common.text_of("text")
+    words = docs.select("doc_id", text.alias("_t"), common.words(text).alias("_ws"))
+    read = common.stored(words.select("doc_id", *(c.alias(k) for k, c in base_rules(F.col("_t"), F.col("_ws")).items()), F.transform("_ws", word_hash).alias("_h")), "hashed")
+    weights = common.array_literal(log_ratios(read, labels), "int")
 
     def mean(g: Column, w: Column) -> Column:
         total = F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.element_at(w, b + 1))
         return F.when(F.size(g) == 0, F.lit(0.0)).otherwise(total.cast("double") / (F.lit(float(UNIT)) * F.size(g)))
 
-    out = docs.withColumn("_ws", common.words(text))
-    llr = common.let(weights, lambda w: common.let(ngram_buckets(F.col("_ws")), lambda g: mean(g, w)))
-    out = out.withColumns(base_rules(text, F.col("_ws")) | {"llr": llr}).drop("_ws")
+    llr = common.let(weights, lambda w: common.let(ngram_buckets(F.col("_h")), lambda g: mean(g, w)))
+    out = read.withColumn("llr", llr).drop("_h")
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
 
