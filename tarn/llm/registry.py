@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarn.llm import matroska, mixing, near_dedup, packing, passages, quality_classifier, quality_rules, secret_scan, warc
+from tarn.llm import matroska, mixing, near_dedup, packing, passages, quality_classifier, quality_rules, quotes, secret_scan, warc
 
 QUERIES = {
+    "op8_quotes": quotes.op8_quotes,
     "op5_passages": passages.op5_passages,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op1_mixing": mixing.op1_mixing,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_matroska": matroska.op10_matroska,
 }
-ORACLES = {"op1_mixing": mixing.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL, "op4_secrets": secret_scan.OP4_SQL, "op7_warc": warc.OP7_SQL}
+ORACLES = {"op8_quotes": quotes.OP8_SQL, "op1_mixing": mixing.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL, "op4_secrets": secret_scan.OP4_SQL, "op7_warc": warc.OP7_SQL}
