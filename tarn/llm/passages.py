@@ -7,8 +7,8 @@
 3. Automata: the anchors of the passages, as sequences of word numbers, go into Aho-Corasick automata. A shard
    holds at most about SHARD_WORDS words of passages; an anchor's shard comes from the first document that has it, so
    a document visits the few shards of its own recurring anchors. Shards that many documents visit are salted.
-4. Documents stream through their shards' automata. Each hit is extended to the longest equal run of words and
-   confirmed on the words; runs of WINDOW words or more that belong to an earlier owner are covered.
+4. Documents stream through their shards' automata. The windows around a hit are looked up among the windows of the
+   shard's passages, each of which has one owner, and confirmed on the words; those of an earlier owner are covered.
 
 Null texts have no words. A null doc_id comes before and after nothing: its words stay and remove no other's.
 Rows that share a doc_id don't remove each other's words.
@@ -29,7 +29,7 @@ from tarn.llm import common
 from tarn.llm.near_dedup import THIRD, _maybe_in, scatter
 
 WINDOW, ANCHOR = 50, 10
-SHARD_WORDS, SALT_WORDS = 1_000_000, 2_000_000
+SHARD_WORDS, SALT_WORDS = 250_000, 1_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -142,49 +142,61 @@ def cut_passages(owners: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """One automaton over the anchors of some passages."""
+    """One automaton over the anchors of some passages, with the places of the passages' windows."""
 
     def __init__(self):
-        self.passages: list[tuple[int, list[bytes], np.ndarray]] = []
-        self.keys: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        self.passages: list[tuple[int, list[bytes]]] = []
+        self.keys: set[tuple] = set()
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.automaton = None
 
     def add(self, owner: int, body: str, places) -> None:
         ws = split(body)
         h = numbers(ws)
         small = (h & np.uint64(0xFFFFFFF)).tolist()
-        for q in places:
-            self.keys[tuple(small[q : q + ANCHOR])].append((len(self.passages), int(q)))
-        self.passages.append((int(owner), ws, h))
+        self.keys.update(tuple(small[q : q + ANCHOR]) for q in places)
+        wh = window_hashes(h, WINDOW)
+        self.parts.append((wh, np.full(len(wh), len(self.passages)), np.arange(len(wh))))
+        self.passages.append((int(owner), ws))
 
     def compile(self) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, value in self.keys.items():
-            self.automaton.add_word(key, value)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for key in self.keys:
+            self.automaton.add_word(key, 1)
         if self.keys:
             self.automaton.make_automaton()
+            wh, which, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.argsort(wh, kind="stable")
+            self.wh, self.which, self.place = wh[order], which[order], place[order]
+            self.owners = np.array([o for o, _ in self.passages])
+        self.parts = []
 
     def covered(self, doc: int, ws: list[bytes]) -> np.ndarray:
-        """Which words lie in a run of WINDOW words or more that a passage of an earlier owner has too."""
-        h, mask, done = numbers(ws), np.zeros(len(ws), bool), set()
+        """Which words lie in a window that a passage of an earlier owner has too."""
+        mask = np.zeros(len(ws), bool)
         if not self.keys or len(ws) < WINDOW:
             return mask
-        for end, found in self.automaton.iter(tuple((h & np.uint64(0xFFFFFFF)).tolist())):
-            q = end - ANCHOR + 1
-            for which, place in found:
-                shift = q - place
-                owner, body, other = self.passages[which]
-                if owner >= doc or (which, shift) in done:
-                    continue
-                done.add((which, shift))
-                a, b = max(0, shift), min(len(h), shift + len(other))
-                same = np.concatenate(([False], h[a:b] == other[a - shift : b - shift], [False]))
-                edge = np.flatnonzero(same[1:] != same[:-1])
-                for s, e in zip(edge[::2] + a, edge[1::2] + a, strict=True):
-                    if e - s >= WINDOW and ws[s:e] == body[s - shift : e - shift]:
-                        mask[s:e] = True
+        h = numbers(ws)
+        hits = [end - ANCHOR + 1 for end, _ in self.automaton.iter(tuple((h & np.uint64(0xFFFFFFF)).tolist()))]
+        if not hits:
+            return mask
+        near = np.zeros(len(ws) + 1, np.int32)  # windows that hold a hit
+        np.add.at(near, np.maximum(0, np.array(hits) - (WINDOW - ANCHOR)), 1)
+        np.add.at(near, np.array(hits) + 1, -1)
+        at = np.flatnonzero(np.cumsum(near)[: len(ws) - WINDOW + 1])
+        wh = window_hashes(h, WINDOW)[at]
+        found = np.minimum(np.searchsorted(self.wh, wh), len(self.wh) - 1)
+        good = (self.wh[found] == wh) & (self.owners[self.which[found]] < doc)
+        at, which, shift = at[good], self.which[found[good]], at[good] - self.place[found[good]]
+        if not len(at):
+            return mask
+        runs = np.flatnonzero((np.diff(at) != 1) | (np.diff(which) != 0) | (np.diff(shift) != 0)) + 1
+        for a, b in zip([0, *runs.tolist()], [*runs.tolist(), len(at)], strict=True):
+            s, e, d = int(at[a]), int(at[b - 1]) + WINDOW, int(shift[a])
+            if ws[s:e] == self.passages[int(which[a])][1][s - d : e - d]:
+                mask[s:e] = True
         return mask
 
 
