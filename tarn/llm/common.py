@@ -66,3 +66,13 @@ def words(text: Column) -> Column:
 def array_literal(values: list[float], kind: str = "double") -> Column:
     """A bounded array of numbers as one constant, parsed once when the plan is made."""
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast(f"array<{kind}>")
+
+
+def wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns beside the whole row in ``_row``, so that other columns can't clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *names)
+
+
+def unwrapped(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The rows of ``wrapped``, with some columns replaced."""
+    return df.select(*((replaced[c] if c in replaced else F.col("_row")[c]).alias(c) for c in columns))

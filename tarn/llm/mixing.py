@@ -53,13 +53,13 @@ def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = RO
     return out.select(*cells.columns, "weight")
 
 
-def probabilities(described_docs: DataFrame, budget: float = BUDGET) -> DataFrame:
+def probabilities(described_docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS) -> DataFrame:
     """(dimensions, weight, prob) of each cell: prob times tokens, over all cells, is the budget share of all tokens."""
     keys = [f"_{d}" for d in DIMS]
     cells = common.stored(described_docs.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
     prob = F.round(F.lit(budget * total) * F.col("weight") / F.col("tokens"), 6)
-    return common.stored(fitted(cells).select(*keys, F.round("weight", 9).alias("weight"), prob.alias("prob")), "mix")
+    return common.stored(fitted(cells, powers).select(*keys, F.round("weight", 9).alias("weight"), prob.alias("prob")), "mix")
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -71,12 +71,12 @@ def copies(prob: Column, doc_id: Column) -> Column:
     return (F.floor(prob) + F.when(draw(doc_id) < prob - F.floor(prob), 1).otherwise(0)).cast("int")
 
 
-def pipeline_stage(docs: DataFrame, budget: float = 0.9) -> DataFrame:
+def pipeline_stage(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS) -> DataFrame:
     """Documents drawn once at most, with probability min(1, prob)."""
-    own = described(docs)
-    mix = probabilities(own, budget)
+    own = described(common.wrapped(docs, "doc_id", "text", *(d for d in DIMS if d in docs.columns)))
+    mix = probabilities(own, budget, powers)
     kept = own.join(mix, [f"_{d}" for d in DIMS]).where(draw(F.col("doc_id")) < F.col("prob"))
-    return kept.select(docs.columns)
+    return common.unwrapped(kept, docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def pipeline_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score 0.5 or more."""
-    return scored(docs, labels).where("score >= 0.5").select(docs.columns)
+    return common.unwrapped(scored(common.wrapped(docs, "doc_id", "text"), labels).where("score >= 0.5"), docs.columns)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -83,22 +83,18 @@ def redact(text: Column, live: Column) -> Column:
     return F.aggregate(F.reverse(F.array_sort(outer)), text, lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(REPLACEMENT), F.substring(t, x["e"] + 1, F.length(t))))
 
 
-def redacted(docs: DataFrame, repo: str, owner: str) -> DataFrame:
-    """All rows and columns of ``docs``, live-looking secrets replaced in ``text``. Only rows with a candidate are written and joined."""
-    seen = candidates(docs)
-    hit = classified(seen.where(F.size("_spans") > 0), repo, owner)
-    clean = seen.where(F.size("_spans") == 0).select(docs.columns)
-    fixed = F.when(F.col("n_live") > 0, redact(F.col("text"), F.col("_live"))).otherwise(F.col("text"))
-    return hit.withColumn("text", fixed).select(docs.columns).unionByName(clean)
-
-
 #: The tables name no owner: a source is taken for the owner, its part in one language for the repository.
 def _places(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_owner": F.coalesce("source", F.lit("")), "_repo": F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))})
 
 
 def pipeline_stage(docs: DataFrame) -> DataFrame:
-    return redacted(_places(docs), "_repo", "_owner").select(docs.columns)
+    """All rows of ``docs``, live-looking secrets replaced in ``text`` (and ``n_chars`` made to fit). Only rows with a candidate are written and joined."""
+    seen = candidates(_places(common.wrapped(docs, "text", "source", "lang")))
+    hit = classified(seen.where(F.size("_spans") > 0), "_repo", "_owner")
+    fixed = F.when(F.col("n_live") > 0, redact(F.col("text"), F.col("_live"))).otherwise(F.col("text"))
+    size = {"n_chars": F.length(fixed).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return common.unwrapped(hit, docs.columns, text=fixed, **size).unionByName(common.unwrapped(seen.where(F.size("_spans") == 0), docs.columns))
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
