@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.llm import common, graph
@@ -183,13 +184,15 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
     both = (F.col("cx1") != F.col("cx2")) & (~F.col("out2") | (F.col("x1") < F.col("x2")))
     gap = lambda shared: (F.col("a1") + F.col("a2") + F.abs(F.col("r1") - F.col("r2")) - 2 * shared) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
     bare = L.join(R, (L["p"] == R["p"]) & both & gap(F.lit(0))).select("x1", "x2")
-    held = mixed.select("p", "x", "cx", "out", F.explode("extra").alias("e"))
-    twice = held.groupBy("p", "e").agg(F.count("*").alias("k"), F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.max("out").alias("any")).where("k > 1 and lo <> hi and any").select("p", "e")
-    held = common.stored(held.join(twice, ["p", "e"], "left_semi"), "shared")
+    # shared extras, rarest first: from a pair's first one on, no more than ``rest`` can be shared
+    held = mixed.select(*slim, F.explode("extra").alias("e"))
+    twice = held.groupBy("p", "e").agg(F.count("*").alias("k"), F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.max("out").alias("any")).where("k > 1 and lo <> hi and any").select("p", "e", "k")
+    order = W.partitionBy("p", "x").orderBy(F.desc("k"), "e")
+    held = common.stored(held.join(twice, ["p", "e"]).withColumn("rest", F.row_number().over(order)).drop("k"), "shared")
     L, R = side(held.where("out"), "1"), side(held, "2")
-    met = L.join(R, (L["p"] == R["p"]) & (L["e"] == R["e"]) & both).groupBy(L["p"], "x1", "x2").agg(F.count("*").alias("o"))
-    size = lambda t: side(mixed.select("p", "x", "n", "a", "r"), t)
-    met = met.join(size("1"), ["p", "x1"]).join(size("2"), ["p", "x2"])
+    met = L.join(R, (L["p"] == R["p"]) & (L["e"] == R["e"]) & both & gap(F.least("rest1", "rest2"))).select(L["p"], "x1", "x2", "n1", "n2", "a1", "a2", "r1", "r2").distinct()
+    extra = lambda t: side(mixed.select("p", "x", "extra"), t)
+    met = met.join(extra("1"), ["p", "x1"]).join(extra("2"), ["p", "x2"]).withColumn("o", F.size(F.array_intersect("extra1", "extra2")))
     more = common.stored(bare.union(met.where(gap(F.col("o"))).select("x1", "x2")).distinct(), "more-pairs")
     sure = _sized(more, sets, "x1", "x2").withColumn("i", F.size(F.array_intersect("sl", "sr"))).where(_linked(F.col("i"), F.size("sl"), F.size("sr"), percent)).select(F.col("x1").alias("u"), F.col("x2").alias("v"))
     return graph.components(seen.where("near").select(F.col("p").alias("u"), F.col("x").alias("v")).union(sure))
