@@ -62,17 +62,16 @@ def base_rules(text: Column, ws: Column) -> dict[str, Column]:
 
 
 def word_hash(word: Column) -> Column:
-    """The first seven hex digits of the word's md5, as a number."""
-    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int")
+    """The word's bucket: the first seven hex digits of its md5, as a number, by BUCKETS."""
+    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int") % BUCKETS
 
 
 def ngram_buckets(hashes: Column) -> Column:
     """Bucket of each one- and two-word n-gram, from the hashes of the words in the order of the text."""
 
     def of(h: Column) -> Column:
-        ones = F.transform(h, lambda x: x % BUCKETS)
         m = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.concat(ones, F.zip_with(F.slice(h, 1, m), F.slice(h, 2, m), lambda a, b: ((a * F.lit(MIX_A).cast("long") + b * F.lit(MIX_B).cast("long") + 7) % BUCKETS).cast("int")))
+        return F.concat(h, F.zip_with(F.slice(h, 1, m), F.slice(h, 2, m), lambda a, b: ((a * F.lit(MIX_A).cast("long") + b * F.lit(MIX_B).cast("long") + 7) % BUCKETS).cast("int")))
 
     return common.let(hashes, of)
 
@@ -98,7 +97,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id with the base counts, base_failed, llr and kept, a row for each row of ``docs``. The texts are read once: the counts and the hashes of the words are written."""
     text = common.text_of("text")
     words = docs.select("doc_id", text.alias("_t"), common.words(text).alias("_ws"))
-    read = common.stored(words.select("doc_id", *(c.alias(k) for k, c in base_rules(F.col("_t"), F.col("_ws")).items()), F.transform("_ws", word_hash).alias("_h")), "hashed")
+    read = common.stored(words.select("doc_id", *(c.alias(k) for k, c in base_rules(F.col("_t"), F.col("_ws")).items()), F.transform("_ws", word_hash).alias("_h")), "hashed", "snappy")
     weights = common.array_literal(log_ratios(read, labels), "int")
 
     def mean(g: Column, w: Column) -> Column:
@@ -125,8 +124,8 @@ rep as (select rid, i from (select rid, i, tri, count(*) over (partition by rid,
 cov as (select rid, count(distinct p) n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) p from rep) group by rid),
 lines as (select rid, unnest(string_split(t, chr(10))) l from d),
 dup as (select rid, count(*) - count(distinct l) n_dup_lines from lines where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by rid),
-h as (select rid, i, ('0x' || substr(md5(word), 1, 7))::bigint h from x),
-g as (select rid, h % {BUCKETS} b from h union all select rid, (h * {MIX_A} + n * {MIX_B} + 7) % {BUCKETS} from (select rid, h, lead(h) over (partition by rid order by i) n from h) where n is not null),
+h as (select rid, i, ('0x' || substr(md5(word), 1, 7))::bigint % {BUCKETS} h from x),
+g as (select rid, h b from h union all select rid, (h * {MIX_A} + n * {MIX_B} + 7) % {BUCKETS} from (select rid, h, lead(h) over (partition by rid order by i) n from h) where n is not null),
 good as (select distinct doc_id from labels where quality = 1 and doc_id is not null order by md5(doc_id::varchar), doc_id limit {TARGET_DOCS}),
 c as (select b, count(*) raw, count(*) filter (doc_id in (select doc_id from good)) good from g join d using (rid) group by b),
 w as (select b, round(((ln((coalesce(good, 0) + {SMOOTH}) / (sum(good) over () + {SMOOTH * BUCKETS}))) - ln((raw + {SMOOTH}) / (sum(raw) over () + {SMOOTH * BUCKETS}))) * {UNIT})::bigint w from c),
