@@ -29,7 +29,7 @@ from tarn.llm import common
 from tarn.llm.near_dedup import THIRD, _maybe_in, scatter
 
 WINDOW, ANCHOR = 50, 10
-SHARD_WORDS, SALT_WORDS = 250_000, 1_000_000
+SHARD_WORDS, SALT_WORDS = 50_000, 1_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -258,7 +258,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # windows in two documents or more, by their first document
     first = recurring_windows(held).groupBy("anchor", "wh").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("pos")).where("doc_id < last")
     starts = common.stored(first.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "starts")
-    passages = common.stored(cut_passages(held.join(starts, "doc_id").dropDuplicates(["doc_id"])), "passages")
+    passages = common.stored(cut_passages(held.where(_maybe_in(starts, "doc_id", 22)).join(starts, "doc_id").dropDuplicates(["doc_id"])), "passages")
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shard = lambda m: F.pmod(F.xxhash64(m), F.lit(total // SHARD_WORDS + 1)).cast("int")
     foreign = F.array_distinct(F.transform(F.filter("heads", lambda x: x["m"] < F.col("doc_id")), lambda x: shard(x["m"])))
@@ -272,7 +272,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = phrase_rows.unionByName(doc_rows).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     hits = common.stored(located(rows), "hits")
     parts = hits.where("places is not null").groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).where(F.size("places") > 0)
-    many = finished(held.select("doc_id", "key", "text").join(parts, ["doc_id", "key"]))
+    parts = common.stored(parts, "parts")
+    many = finished(held.select("doc_id", "key", "text").where(_maybe_in(parts, "doc_id", 22)).join(parts, ["doc_id", "key"]))
     removed = hits.where("n_removed > 0").select("doc_id", "key", "n_removed", "sha").unionByName(many)
     out = marked.join(removed, ["doc_id", "key"], "left")
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
