@@ -93,7 +93,7 @@ def pending(spark: SparkSession, t: int, built: DataFrame, limit: int | None = N
 def ancestors(blocks: DataFrame, t: int, built: DataFrame | None = None) -> DataFrame:
     """(lo, hi, up_lo, up_hi): the larger blocks that hold each block, inside the log. With ``built``, climbing stops below the first that isn't there."""
     size = F.col("hi") - F.col("lo")
-    ups = blocks.select("lo", "hi", F.explode(F.array(*map(F.lit, levels(t)))).cast("long").alias("n")).where(F.col("n") > size)
+    ups = blocks.select("lo", "hi", F.explode(F.array(*map(F.lit, levels(t))).cast("array<bigint>")).alias("n")).where(F.col("n") > size)
     ups = ups.select("lo", "hi", (F.col("lo") - F.col("lo") % F.col("n")).alias("up_lo"), (F.col("lo") - F.col("lo") % F.col("n") + F.col("n")).alias("up_hi")).where(F.col("up_hi") <= t)
     if built is None:
         return ups

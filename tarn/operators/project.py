@@ -57,7 +57,8 @@ def turns(events: DataFrame, claim: Column | None = None) -> DataFrame:
 
 
 def _le64(n: Column) -> Column:
-    return F.reverse(F.unhex(F.lpad(F.hex(n), 16, "0")))
+    digits = F.lpad(F.hex(n), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in range(15, 0, -2))))
 
 
 

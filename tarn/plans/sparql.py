@@ -259,7 +259,7 @@ class Run:
             elif kind == "minus":
                 right = self.group(item[1], graph)
                 shared = [n for n in out.names if n in right.names]
-                if shared:  # without a shared variable nothing is removed
+                if set(shared) - {graph[1] if graph else None}:  # without a shared variable nothing is removed; the graph's own doesn't count
                     r = right.df.select(*(F.col(n).alias(f"_m_{n}") for n in shared))
                     cond, met = F.lit(True), F.lit(False)
                     for n in shared:
