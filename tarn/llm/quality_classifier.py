@@ -83,8 +83,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray
         return []
     small = spark.createDataFrame([(r["doc_id"], int(r["quality"])) for r in picked], "doc_id long, _y int")  # at most 2 * SAMPLE rows
     rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", "_y", feature_ids(common.text_of("text")).alias("ids")).groupBy("doc_id").agg(F.first("_y").alias("y"), F.max("ids").alias("ids"))
-    rows = sorted(rows.select("y", "ids", F.xxhash64("doc_id").alias("o"), "doc_id").collect(), key=lambda r: (r["o"], r["doc_id"]))
-    return [(np.array(r["ids"], np.int64), r["y"]) for r in rows]
+    got = rows.select("y", "ids", F.xxhash64("doc_id").alias("o"), "doc_id").toArrow().sort_by([("o", "ascending"), ("doc_id", "ascending")])
+    return [(x.values.to_numpy(), y) for x, y in zip(got["ids"], got["y"].to_pylist(), strict=True)]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
