@@ -21,6 +21,7 @@ from tarn.llm import common
 PREFIX = r"^(?:\x20{0,3}>)+\x20?"
 #: The line that mail programs put before a quote.
 ATTRIBUTION = r"(^|\n)On [^\n]{1,200} wrote:\s*$"
+EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 RUNS = "array<struct<lvl:int,t:string>>"
 
 
@@ -53,7 +54,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     own = F.transform(F.filter("_runs", lambda x: x["lvl"] == 0), lambda x: x["t"])
     out = runs.withColumn("quotes", quotes)
     plain = F.array_join(F.transform(own, lambda t: F.regexp_replace(t, ATTRIBUTION, "")), "\n")
-    body = F.when(F.size("quotes") > 0, F.trim(plain)).otherwise(F.array_join(own, "\n"))
+    body = F.when(F.size("quotes") > 0, F.regexp_replace(plain, EDGES, "")).otherwise(F.array_join(own, "\n"))
     return out.withColumns({"body": body, "n_quotes": F.size("quotes").cast("long"), "max_level": F.coalesce(F.array_max(F.transform("quotes", lambda x: x["lvl"])), F.lit(0))}).drop("_runs")
 
 
@@ -122,7 +123,7 @@ runs as (select rid, r, lvl, string_agg(t, chr(10) order by i) t from c group by
 qt as (select rid, row_number() over (partition by rid order by r) - 1 q, lvl, t from runs where lvl > 0 and {_F.format("t")} <> ''),
 nq as (select rid, count(*) n_quotes, max(lvl) max_level from qt group by rid),
 own as (select rid, r, t from runs where lvl = 0),
-body as (select m.rid, case when n_quotes > 0 then trim(coalesce(string_agg(regexp_replace(own.t, '(^|\n)On [^\n]{{1,200}} wrote:\s*$', ''), chr(10) order by r), '')) else coalesce(string_agg(own.t, chr(10) order by r), '') end body from m left join own using (rid) left join nq using (rid) group by m.rid, n_quotes),
+body as (select m.rid, case when n_quotes > 0 then regexp_replace(coalesce(string_agg(regexp_replace(own.t, '(^|\n)On [^\n]{{1,200}} wrote:\s*$', ''), chr(10) order by r), ''), '{EDGES}', '', 'g') else coalesce(string_agg(own.t, chr(10) order by r), '') end body from m left join own using (rid) left join nq using (rid) group by m.rid, n_quotes),
 msg as (select m.rid, conv_id, turn, role, body, coalesce(n_quotes, 0) n_quotes, coalesce(max_level, 0) max_level from m join body using (rid) left join nq using (rid)),
 part as (select rid, body t from msg union all select rid, unnest(string_split_regex(body, '\n[\x20\x09]*\n')) from msg union all select rid, unnest(string_split(body, chr(10))) from msg),
 origin as (select conv_id, {_H.format("t")} h, min(turn) src from part join msg using (rid) where {_F.format("t")} <> '' group by all),

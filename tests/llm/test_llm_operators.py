@@ -1,0 +1,332 @@
+"""The corpus operators against plain versions, over edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import os
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.llm import common, graph, matroska, mixing, near_dedup, packing, passages, quality_classifier, quality_rules, quotes, secret_scan, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+VOCAB = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "éa", "ü漢"]
+
+
+def docs_of(spark, texts, extra=False):
+    rows = [(i if not isinstance(t, tuple) else t[0], t if not isinstance(t, tuple) else t[1], "en", f"s{i % 3}" if i % 5 else None, 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({c: F.lit(7) for c in ("score", "key", "_row", "weight", "_spans", "shard", "prob", "_rid")}) if extra else df
+
+
+def sample_texts(seed=1, n=60):
+    r = random.Random(seed)
+    long = " ".join(r.choices(VOCAB, k=400))
+    base = [f"w{r.randrange(10**6)}" for _ in range(160)]
+    out = [None, "", " \t\n", "one", "one two", long, long, "ONE two\x0bthree one two three one two three", "a  b\n\n\nc"]
+    for _ in range(n):
+        own = list(base)
+        for _ in range(r.randrange(0, 12)):
+            own[r.randrange(len(own))] = f"e{r.randrange(10**6)}"
+        cut = r.randrange(0, 40)
+        out.append(" ".join([f"x{r.randrange(10**6)}" for _ in range(r.randrange(0, 30))] + own[cut : cut + r.randrange(40, 120)]))
+    return out + ["a" * 300_000, "tok " * 30_000]
+
+
+def rows(df, *keys):
+    return sorted((r.asDict() for r in df.collect()), key=lambda r: tuple(str(r[k]) for k in keys))
+
+
+# 1
+def test_mixing_meets_targets_and_edges(spark):
+    df = docs_of(spark, [None, "", "a b", "e e e", "i i", "o o o o", "a"] * 9, extra=True)
+    own = mixing.described(common.wrapped(df, "doc_id", "text", "lang", "source"))
+    mix = mixing.probabilities(own)
+    cells = mix.join(own.groupBy(*(f"_{d}" for d in mixing.DIMS)).agg(F.sum("n_tokens").alias("t")), [f"_{d}" for d in mixing.DIMS]).toPandas()
+    share = cells.groupby("_topic")["weight"].sum()
+    assert abs(share - 1 / len(share)).max() < 0.01  # the last margin is met
+    assert abs((cells["prob"] * cells["t"]).sum() / cells["t"].sum() - mixing.BUDGET) < 0.01
+    kept = mixing.pipeline_stage(df)
+    assert kept.columns == df.columns and 0 < kept.count() < df.count()
+    assert mixing.pipeline_stage(df.limit(0)).count() == 0
+
+
+# 2
+def plain_rules(text):
+    ws = (text or "").encode().split()
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    tri = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+    cov = {p for i in range(len(ws) - 2) if tri[tuple(ws[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    return len(ws), sum(len(w.decode()) for w in ws), sum(c in quality_rules.SYMBOLS for c in text or ""), len(lines) - len(set(lines)), len(cov)
+
+
+def test_quality_rules_counts(spark):
+    many = " ".join(f"q{i % 70} r{i % 70} s{i % 70}" for i in range(210))
+    texts = [*sample_texts(), "#a|<b>\n#a|<b>\n \nx", many, "x y z x y z", "a a a a"]
+    out = rows(quality_rules.judged(docs_of(spark, texts, extra=True), spark.createDataFrame([(9, 1, 0), (10, 1, 0), (11, 0, 0)], "doc_id long, quality int, toxic int")), "doc_id")
+    got = {r["doc_id"]: r for r in out}
+    for i, t in enumerate(texts):
+        r = got[i]
+        want = plain_rules(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, i
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert r["base_failed"] == failed and r["kept"] == (not failed and r["llr"] >= quality_rules.THRESHOLD)
+    empty = quality_rules.judged(docs_of(spark, []), spark.createDataFrame([], "doc_id long, quality int"))
+    assert empty.count() == 0
+
+
+# 3
+def test_classifier_learns_and_has_defined_edges(spark):
+    good, bad = ["plain words of a good text here now " + VOCAB[i % 12] * 2 for i in range(60)], ["bad### words$$$ all over&&& " + VOCAB[i % 12] for i in range(60)]
+    df = docs_of(spark, [*good, *bad, None, "", "z" * 100_000], extra=True)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in quality_classifier.scored(df.drop("score"), labels).collect()}
+    held = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all((out[i]["score"] >= 0.5) == (i < 60) for i in held)
+    assert out[120]["score"] == out[121]["score"]
+    kept = quality_classifier.pipeline_stage(df, labels)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} & set(range(120)) == set(range(60))
+    none = quality_classifier.scored(docs_of(spark, ["a", None]), labels.limit(0)).collect()
+    assert [r["score"] for r in none] == [0.5, 0.5]
+    # a label in the held-out fold never counts
+    flipped = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r["doc_id"]: r["score"] for r in quality_classifier.scored(df.drop("score"), flipped).collect()}
+    assert again == {k: r["score"] for k, r in out.items()}
+
+
+def test_classifier_on_held_out_rows(spark):
+    out = quality_classifier.op3_quality(spark, "/root/testdata/sf0.01").join(common.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out")
+    right, all_ = out.where("predicted = quality").count(), out.count()
+    assert all_ > 50 and right / all_ > 0.95
+
+
+# 4
+def test_secret_spans_and_redaction(spark):
+    live, copied = "a1b2c3d4e5f6a7b8c9d0", "0123456789abcdef0123"
+    texts = [f"é password = '{live}' x", f"TOKEN:{copied} and {copied}", f"see {copied}", f"api-key AKIA{'Z9' * 9} AKIASHORT", "password: secret: abcdefghijklmnop", None, "", f"apikey={'x' * 11}", f"secret=\"{'A' * 200_000}1"]
+    rows_ = [(i, t, "en", f"src{i}", 1) for i, t in enumerate(texts)] + [(50, f"also {copied}", "de", "srcX", 1), (0, texts[0], "en", "src0", 1)]
+    df = spark.createDataFrame(rows_, DOCS)
+    import re
+
+    found = {r["doc_id"]: r["_spans"] for r in secret_scan.candidates(df).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or ""):
+            if len(m[2]) >= 12:
+                want.append((m.start(), 0, m.end()))
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16]
+        assert [(x["s"], x["kind"], x["e"]) for x in found[i]] == sorted(want), i
+    fixed = secret_scan.pipeline_stage(df.withColumn("_live", F.lit(1)))
+    assert fixed.columns == [*df.columns, "_live"] and fixed.count() == df.count()
+    text = {r["doc_id"]: r for r in fixed.collect()}
+    assert text[0]["text"] == "é password = '[secret]' x" and text[0]["n_chars"] == len(text[0]["text"])
+    assert copied in text[1]["text"] and copied in text[50]["text"]  # three owners: a copied example
+    assert text[5]["text"] is None
+    assert secret_scan.pipeline_stage(df.limit(0)).count() == 0
+
+
+# 5
+def plain_passages(pairs, window=passages.WINDOW):
+    first, out = {}, []
+    for d, t in sorted((p for p in pairs if p[0] is not None), key=lambda p: p[0]):
+        ws = (t or "").encode().split()
+        for i in range(len(ws) - window + 1):
+            first.setdefault(tuple(ws[i : i + window]), d)
+    for d, t in pairs:
+        ws = (t or "").encode().split()
+        gone = set()
+        for i in range(len(ws) - window + 1):
+            if d is not None and first[tuple(ws[i : i + window])] < d:
+                gone |= set(range(i, i + window))
+        out.append((d, len(ws), len(gone), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone)).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard_words", [passages.SHARD_WORDS, 300])
+def test_passages_equal_plain_removal(spark, monkeypatch, shard_words):
+    monkeypatch.setattr(passages, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(passages, "SALT_WORDS", 10 * shard_words)
+    texts = sample_texts(3)
+    texts += [" ".join(["z"] * n) for n in (49, 50, 51, 120)] + [texts[20], texts[20], (None, texts[21]), (4, texts[22])]
+    df = docs_of(spark, texts, extra=True)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in passages.deduplicated(df).collect()), key=str)
+    assert got == plain_passages([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
+    assert sum(g[2] for g in got) > 1000
+    assert passages.deduplicated(df.limit(0)).count() == 0
+
+
+def test_window_hashes_tell_windows_apart():
+    h = passages.numbers([b"%d" % (i % 7) for i in range(300)])
+    got = passages.window_hashes(h, 50)
+    assert len(set(got.tolist())) == 7 and (got[:100] == got[7:107]).all()
+
+
+# 6
+def plain_classes(pairs, k, percent):
+    sets = []
+    for _, t in pairs:
+        ws = (t or "").encode().lower().split()
+        sets.append({tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else {tuple(ws)} if ws else set())
+    up = list(range(len(pairs)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            n = len(a & b)
+            if a and b and 100 * n >= percent * (len(a) + len(b) - n):
+                up[find(i)] = find(j)
+    low = defaultdict(lambda: None)
+    for i, (d, _) in enumerate(pairs):
+        f = find(i)
+        low[f] = d if low[f] is None else low[f] if d is None else min(low[f], d)
+    return sorted(((d, len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(pairs)), key=str)
+
+
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_equal_all_pairs(spark, k, percent):
+    r, texts = random.Random(7), sample_texts(5, 30)
+    base = [f"b{i}" for i in range(200)]
+    for _ in range(70):
+        own = list(base)
+        for _ in range(r.randrange(0, 14)):
+            at = r.randrange(len(own))
+            own[at : at + 1] = [[], ["the"], [own[at], own[at]]][r.randrange(3)]
+        texts.append(" ".join(own))
+    texts += [texts[-1].upper(), (None, texts[-2]), (3, texts[-3]), (3, texts[-3])]
+    df = docs_of(spark, texts, extra=True)
+    pairs = [(x["doc_id"], x["text"]) for x in df.select("doc_id", "text").collect()]
+    got = near_dedup.classes(df, k, percent).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == plain_classes(pairs, k, percent)
+    assert all(x["kept"] == (x["doc_id"] == x["component_id"] or x["component_id"] is None) for x in got)
+    kept = near_dedup.pipeline_stage(df, k, percent)
+    assert kept.columns == df.columns
+    ids = [x["doc_id"] for x in kept.collect() if x["doc_id"] is not None]
+    assert set(ids) == {x["component_id"] for x in got if x["doc_id"] is not None}
+    assert len(ids) == len(set(ids)) + 1  # id 3 has two unlike texts, both the first of their class
+    assert near_dedup.classes(df.limit(0), k, percent).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("z1", "z2"), ("z2", "z1"), ("q", "q")], "u string, v string")
+    got = {r["node"]: r["comp"] for r in graph.components(edges).collect()}
+    assert set(got.values()) == {"n000", "z1"} and len(got) == 63
+
+
+# 7
+def test_warc_round_trip(spark, tmp_path):
+    big = "é" * 900
+    rows_ = [(1, "http://a/\r\nx", big), (2, "http://b", big), (3, None, None), (4, "u", ""), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "u", "y" * 300_000), (7, "u", "y" * 300_000), (None, "n", big)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    index = warc.write(pages, f"file://{tmp_path}/w")
+    got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]): bytes(r["payload"]) for r in warc.read(index).collect()}
+    assert got[(2, "response", None, 1800)] == big.encode() and (1, "revisit", 2, 1800) in got and (None, "revisit", 2, 1800) in got
+    assert (5, "response", None, 999) in got and (6, "response", None, 999) in got and (3, "response", None, 0) in got
+    assert index.count() == len(rows_)
+    part = index.where("page_id = 7").limit(1)
+    assert warc.read(part).first()["payload_digest"] == hashlib.sha1(b"y" * 300_000).hexdigest()
+    assert warc.read(warc.write(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+# 8
+def test_quotes_and_threads(spark):
+    rows_ = [
+        (1, 0, "user", "Hello there friends.\n\nHow are  you today?"), (1, 1, "assistant", "On Monday, A wrote:\n> How are you TODAY?\n\nFine, thanks."), (1, 2, "user", "> > How are you today?\n> Fine, thanks.\nGood!"), (1, 3, "user", "> nothing like this\nok"),
+        (1, 4, "user", None), (1, 5, "assistant", "> Good!\n> and a line nobody said\nyes"), (None, 1, "user", "> Good!"), (2, 0, "user", "> Good!\nno"), (2, None, "user", "a"), (1, 5, "assistant", "> Good!\n> and a line nobody said\nyes"), (3, 0, "user", "> " * 400 + "x" * 100_000),
+    ]
+    df = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").withColumn("quotes", F.lit("clash"))
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(df).collect()}
+    assert got[(1, 1)]["parent_turn"] == 0 and got[(1, 1)]["body"] == "Fine, thanks."
+    assert (got[(1, 2)]["parent_turn"], got[(1, 2)]["max_level"], got[(1, 2)]["n_linked"], got[(1, 2)]["body"]) == (1, 2, 2, "Good!")
+    assert (got[(1, 5)]["parent_turn"], got[(1, 5)]["thread_turn"], got[(1, 5)]["depth"]) == (2, 0, 3)
+    assert got[(1, 3)]["parent_turn"] is None and got[(1, 4)]["body"] == "" and got[(3, 0)]["max_level"] == 400
+    assert quotes.conversations(df).count() == len(rows_) and quotes.conversations(df.limit(0)).count() == 0
+
+
+# 9
+def test_packing_is_whole_and_tight(spark):
+    texts = [*sample_texts(), "word " * 5000, "  x\n\n y<|endoftext|> é漢"]
+    df = docs_of(spark, texts, extra=True)
+    out = packing.pack(df, keep_ids=True).toPandas()
+    encode = packing.Encoder()
+    for i, t in enumerate(texts):
+        ids = [*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        own = out[out.doc_id == i].sort_values("piece")
+        assert [x for p in own["ids"] for x in p] == ids
+        assert all(n == 1024 for n in own["length"][1:]) and list(own["start"]) == [0, *own["length"].cumsum()[:-1]]
+    for _, s in out.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert list(s["offset"]) == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= 1024
+    low = -(-int(out["length"].sum()) // 1024)
+    assert low <= out["sequence_id"].nunique() <= low * 1.05 + 1
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_plan_fills_every_slot_once():
+    r = random.Random(2)
+    for _ in range(30):
+        counts = {r.randrange(1, 65): r.randrange(1, 500) for _ in range(r.randrange(1, 30))}
+        used, seen = Counter(), Counter()
+        for length, a, b, first, per, base in packing.plan(counts, 64):
+            seen[length] += b - a
+            for k in range(b - a):
+                used[first + k // per] += length
+                assert base + (k % per + 1) * length <= 64
+        assert seen == Counter(counts) and max(used.values()) <= 64
+
+
+# 10
+def test_matroska_round_trip_and_lacings(spark):
+    r = random.Random(4)
+    for n in (64, 448, 512, 576, 4096, 4160, 33_024, 200_000):
+        data = r.randbytes(n)
+        got = matroska.parse(matroska.mux(data))
+        raw = matroska.mux(data)
+        assert b"".join(raw[p[7] : p[7] + p[8]] for p in got["packets"]) == data and got["complete"] and len(got["cues"]) == len(got["clusters"])
+    E = matroska.element
+    frames = [b"a" * 300, b"bb", b"c" * 7]
+    xiph = bytes([2, 255, 45, 2]) + b"".join(frames)
+    block = lambda flag, body: b"\x81" + (5).to_bytes(2, "big") + bytes([flag]) + body
+    ebml = matroska.lace(frames)
+    cluster = matroska.uint(matroska.CLUSTER_TIMESTAMP, 10) + E(matroska.BLOCK_GROUP, E(matroska.BLOCK, block(1 << 1, xiph))) + E(matroska.SIMPLE_BLOCK, block(ebml[0] << 1, ebml[1]))
+    unknown = matroska.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + matroska.CLUSTER.to_bytes(4, "big") + b"\xff" + cluster
+    got = matroska.parse(E(matroska.EBML, b"") + unknown)
+    whole = E(matroska.EBML, b"") + unknown
+    assert [whole[p[7] : p[7] + p[8]] for p in got["packets"]] == frames * 2 and {p[4] for p in got["packets"]} == {15}
+    assert [p[6] for p in got["packets"]] == [1] * 3 + [3] * 3
+    cut = matroska.mux(b"q" * 9000)[:-700]
+    assert not matroska.parse(cut)["complete"] and matroska.parse(cut)["packets"] and not matroska.parse(b"junk")["packets"]
+    texts = sample_texts(8, 5)
+    df = docs_of(spark, texts, extra=True)
+    media = matroska.encode_column(df, "doc_id", F.encode(common.text_of("text"), "UTF-8"))
+    for row in matroska.features(media, "doc_id").collect():
+        raw = (texts[row["doc_id"]] or "").encode()
+        padded = raw + bytes((-len(raw) % 64) or (0 if raw else 64))
+        assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    table = matroska.packet_table(media, "doc_id", "media")
+    assert table.where("doc_id = 0").count() == 1 and table.select("complete").distinct().count() == 1
+
+
+# the pipeline
+def test_pipeline_stages(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    import corpus_pipeline
+
+    docs = common.table(spark, SF, "documents").withColumn("extra", F.lit("x"))
+    cols, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, SF), name)
+        assert docs.columns == cols
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] >= sizes[4] > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
