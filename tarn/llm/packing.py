@@ -7,11 +7,11 @@ sequence, offset). A piece takes the slot of its rank within its length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,35 +23,47 @@ from pyspark.sql import functions as F
 from tarn.llm import common
 
 CAPACITY, END_ID, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
-#: White space as the tokenizer's pattern has it. A chunk ends where the tokenizer parts words anyway, so chunks can be encoded one by one.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]+")
-CACHE_CHUNKS = 200_000
+#: Texts at the start of each task that ``tokenizers`` encodes too: a difference is an error.
+COMPARED = 16
 
 
-class Encoder:
-    """Token ids of texts by the ``tokenizers`` library. Chunks met before come from a bounded cache."""
+@cache
+def engines(name: str = TOKENIZER):
+    """The tokenizer of the file, and a faster engine over the vocabulary and pattern of that file (the ids of byte-level BPE are its merge ranks)."""
+    import os
 
-    def __init__(self, name: str = TOKENIZER):
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    reference = Tokenizer.from_file(path)
+    reference.encode_special_tokens = True  # their strings in a text are ordinary text
+    # the printable stand-ins that byte-level BPE has for bytes: itself if printable, else the next free code from 256
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    stands = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in own)}
+    vocabulary = reference.get_vocab(with_added_tokens=False)
+    ranks = {bytes(stands[c] for c in t): i for t, i in vocabulary.items() if all(c in stands for c in t)}
+    specials = {t.content for t in reference.get_added_tokens_decoder().values()}
+    ranks = {t: i for t, i in ranks.items() if t.decode("utf-8", "replace") not in specials}
+    return reference, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+class Encoder:
+    """Token ids of texts, as the ``tokenizers`` library gives them."""
+
+    def __init__(self, name: str = TOKENIZER):
+        self.tokenizer, self.fast = engines(name)
+        self.compared = 0
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks, cache = CHUNK.findall(text), self.cache
-        if missing := [c for c in dict.fromkeys(chunks) if c not in cache]:
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-                missing = list(dict.fromkeys(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([cache[c] for c in chunks]), "<u4")
+        ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.compared < COMPARED:
+            self.compared += 1
+            if ids.tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError("the fast engine's ids differ from the tokenizer's")
+        return ids
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -67,8 +79,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, ca
         encode, ranks, part = Encoder(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
+            for doc, own_ids in zip(pdf["doc_id"], (encode(t or "") for t in pdf["text"]), strict=True):
+                ids = np.append(own_ids, np.uint32(end_id)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + n]
                     row = (doc, k, start, n, zlib.crc32(own.tobytes()), part, ranks[n])
