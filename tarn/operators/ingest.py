@@ -77,7 +77,7 @@ class QuadTable:
         self._placed(q).repartition("gb").sortWithinPartitions("gb", "p", "s").write.mode("overwrite").partitionBy("gb").parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(f"{M.QUAD}, gb int").parquet(self.path)
 
     def _rewrite(self, graphs: DataFrame, new: DataFrame) -> None:
         touched = [r["gb"] for r in graphs.select(F.coalesce(M.graph_bucket(F.col("g"), self.buckets), F.lit(-1)).alias("gb")).distinct().collect()]  # at most `buckets` numbers

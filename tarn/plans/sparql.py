@@ -176,7 +176,7 @@ class Run:
         out = q.select(*(c.alias(n) for n, c in seen.items())) if seen else q.select(F.lit(1).alias("_one"))
         if graph is None and not self.q.default and self.store.union and not self.q.named:
             # a set of triples: what the constants leave open must be distinct
-            out = q.select(*(c.alias(n) for n, c in seen.items()), *(F.col(c).alias(f"_{c}") for c in ("s", "p", "o_kind", "o", "dt", "lang", "tt"))).dropDuplicates([f"_{c}" for c in ("s", "p", "o_kind", "o", "dt", "lang", "tt")]).select(*(seen or ["_s"])) if not many else out.distinct()
+            out = q.select(*(c.alias(n) for n, c in seen.items()), *(F.col(c).alias(f"_q_{c}") for c in ("s", "p", "o_kind", "o", "dt", "lang", "tt"))).dropDuplicates([f"_q_{c}" for c in ("s", "p", "o_kind", "o", "dt", "lang", "tt")]).select(*(seen or ["_q_s"])) if not many else out.distinct()
         elif many:
             out = out.distinct()
         return Part(out, list(seen))
