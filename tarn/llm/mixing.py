@@ -3,7 +3,8 @@
 Token counts of the cells (source, language, topic) are raked until their sums match a target share for every
 value of each of the three. A document's probability is the budget times its cell's fitted weight over the
 cell's tokens; above 1 its whole part gives repeats, and the rest is drawn by a hash of doc_id, so a run can be
-repeated. Everything works on the table of cells; nothing is gathered to the driver.
+repeated. Fitting works on the table of cells, never on documents: on the driver for at most DRIVER_CELLS cells, by
+windows over the written table beyond that; both give the same weights.
 
 Null dimensions are a value of their own (empty text), null texts have no tokens. Cells without tokens keep
 weight 0 and their documents have probability 0. Repeated rows share their draw.
@@ -22,11 +23,12 @@ DIMS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 ROUNDS, BUDGET, SEED = 15, 0.5, "mix-1"
 TOPIC_LETTERS = "aeio"
+DRIVER_CELLS = 50_000
 
 
 def topic_of(text: Column) -> Column:
     """Stand-in for a topic column, which the tables lack: the letter of TOPIC_LETTERS that the whole text has most of, the first of equals."""
-    counts = [F.length(text) - F.length(F.translate(text, c, "")) for c in TOPIC_LETTERS]
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in TOPIC_LETTERS]
     return F.element_at(F.array(*map(F.lit, TOPIC_LETTERS)), F.array_position(F.array(*counts), F.greatest(*counts)).cast("int"))
 
 
@@ -37,19 +39,43 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.withColumns(dims | {"n_tokens": F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
 
 
-def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``weight``, of sum 1, to cells of (dimensions, tokens). Every step is a window over the cells."""
-    total = lambda x, *by: F.sum(x).over(W.partitionBy(*by))
-    out = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """Adds ``weight``, of sum 1, to the written cells of (dimensions, tokens)."""
+    filled = cells.where("tokens > 0")
+    return _fitted_here(filled, powers, rounds) if filled.limit(driver_cells + 1).count() <= driver_cells else _fitted_there(filled, powers, rounds)
+
+
+def _fitted_here(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
+    import numpy as np
+
+    got = cells.orderBy(*(f"_{d}" for d in powers)).toPandas()
+    tokens = got["tokens"].to_numpy(float)
+    weight, steps = tokens.copy(), []
     for d in powers:
-        out = out.withColumn(f"_m{d}", F.pow(total("tokens", f"_{d}").cast("double"), F.lit(powers[d])))
+        _, code = np.unique(got[f"_{d}"].to_numpy(str), return_inverse=True)
+        target = np.bincount(code, tokens) ** powers[d]
+        steps.append((code, target / target.sum()))
+    for _ in range(rounds):
+        for code, share in steps:
+            weight *= (share / np.bincount(code, weight))[code]
+    rows = got.assign(weight=weight)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", weight double"
+    return cells.sparkSession.createDataFrame(rows, schema)
+
+
+def _fitted_there(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
+    total = lambda x, *by: F.sum(x).over(W.partitionBy(*by))
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
     sums = {}  # a value's share is its power over the sum of the powers of all values: three numbers
     for d in powers:
-        by_value = cells.where("tokens > 0").groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("m"))
+        out = out.withColumn(f"_m{d}", F.pow(total("tokens", f"_{d}").cast("double"), F.lit(powers[d])))
+        by_value = cells.groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("m"))
         sums[d] = by_value.agg(F.coalesce(F.sum("m"), F.lit(1.0))).first()[0]
-    for _ in range(rounds):
+    for k in range(rounds):
         for d in powers:
             out = out.withColumn("weight", F.col("weight") * F.col(f"_m{d}") / F.lit(sums[d]) / total("weight", f"_{d}"))
+        if k % 5 == 4:
+            out = common.stored(out, "fitting")
     return out.select(*cells.columns, "weight")
 
 

@@ -49,6 +49,9 @@ def test_mixing_meets_targets_and_edges(spark):
     share = cells.groupby("_topic")["weight"].sum()
     assert abs(share - 1 / len(share)).max() < 0.01  # the last margin is met
     assert abs((cells["prob"] * cells["t"]).sum() / cells["t"].sum() - mixing.BUDGET) < 0.01
+    counts = common.stored(own.groupBy(*(f"_{d}" for d in mixing.DIMS)).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    weights = lambda n: {r[:3]: round(r["weight"], 9) for r in mixing.fitted(counts, driver_cells=n).collect()}
+    assert weights(0) == weights(1000) and len(weights(0)) > 5
     kept = mixing.pipeline_stage(df)
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
     assert mixing.pipeline_stage(df.limit(0)).count() == 0
