@@ -97,3 +97,41 @@ def accepted_notes(answers: DataFrame, stretch: DataFrame) -> DataFrame:
     from tarn.operators.project import note_id
 
     return one.select("n", F.get("c", F.lit(0))["ts"].alias("ts"), "text", turns.alias("turns")).withColumn("id", note_id(F.get("turns", F.lit(0)), F.col("text")))
+
+
+def where_label(harness: Column, place: Column, session: Column) -> Column:
+    return F.concat_ws(" · ", harness, place, F.substring(session, 1, 8))
+
+
+def label_peers(turns: DataFrame, sends: DataFrame, me: str) -> DataFrame:
+    """Conversations that ``me`` opened for a helper go; user turns that a peer sent get kind and peer."""
+    from tarn.operators import peers
+
+    t = turns.withColumn("_unix", F.try_to_timestamp(F.col("ts")).cast("long"))
+    said = t.where((F.col("role") == "user") & (T.trimmed(F.col("text")) != ""))
+    opening = said.groupBy("source", "conv_id").agg(F.min_by(F.struct("text", "_unix"), "pos").alias("o")).select(F.struct("source", "conv_id").alias("id"), F.lit(me).alias("me"), F.col("o._unix").alias("ts"), F.col("o.text").alias("text"))
+    mine = peers.spawned(opening, sends).select("id.source", "id.conv_id")
+    kept = t.join(mine, ["source", "conv_id"], "left_anti")
+    key = F.struct("source", "conv_id", "pos")
+    asked = kept.where("role = 'user'").select(key.alias("id"), F.lit(me).alias("receiver"), F.col("_unix").alias("ts"), "text")
+    found = peers.senders(asked, sends).select("id.*", "kind", "peer")
+    return kept.drop("_unix").join(found, ["source", "conv_id", "pos"], "left")
+
+
+def speaker_line(role: Column, kind: Column, peer: Column, human: str) -> Column:
+    """Who speaks in a turn, for a reader of the stream."""
+    p = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    return (
+        F.when(role != "user", "you")
+        .when(kind == "whole", p(peer, " (another agent, a message to you)"))
+        .when(kind == "leading", p(peer, f" (another agent), then more words that arrived with it — {human}'s or another agent's"))
+        .when(kind == "embedded", p(f"{human}, then a message from another agent, ", peer, f", that arrived while {human} typed"))
+        .otherwise(human)
+    )
+
+
+def stretch_text(turns: DataFrame, group: str, human: str) -> DataFrame:
+    """(group, stretch, text): the numbered turns (idx, ts, place, role, kind, peer, text) of each stretch, a stretch being bounded by its bytes."""
+    said = F.when((F.col("role") == "user") & F.col("kind").isNull(), T.mark_quote_backs(T.relabel_pastes(T.relabel_channels(F.col("text"))))).otherwise(T.relabel_channels(F.col("text")))
+    one = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "ts", F.lit(" · "), "place", F.lit("\n"), speaker_line(F.col("role"), F.col("kind"), F.col("peer"), human), F.lit(": "), said)
+    return turns.select(group, "stretch", "idx", one.alias("t")).groupBy(group, "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "t"))), lambda x: x["t"]), "\n\n").alias("text"))

@@ -22,15 +22,28 @@ def top_predicates(q: DataFrame, k: int = 20) -> DataFrame:
     return q.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(k)
 
 
-# What each kind of route needs, and what an unknown caller gets.
-ROUTES = {"health": "open", "stats": "read", "query": "read", "memory": "read", "sync": "write", "relive": "write", "admin": "owner"}
+OPEN, READ, WRITE, OWNER = "nothing", "read", "write", "owner"
 
 
-def gate(route: Column, scope: Column, known: Column) -> Column:
-    """allow, or the status refused with: 401 for no known caller, 403 for too small a scope, 404 for no such route."""
-    need = F.coalesce(*(F.when(route == k, F.lit(v)) for k, v in ROUTES.items()))
-    rank = lambda x: F.when(x == "owner", 3).when(x == "write", 2).when(x == "read", 1).otherwise(0)
-    return F.when(need.isNull(), "404").when(need == "open", "allow").when(~known, "401").when(rank(scope) < rank(need), "403").otherwise("allow")
+def route_needs(method: Column, path: Column, prefix: str = "api") -> Column:
+    """What a route needs: nothing for health and the list of stores, the machine's owner to sync all or stop, a store's writer to sync or fill it, else a reader."""
+    p = F.regexp_replace(path, "^/+|/+$", "")
+    get, post = method == "GET", method == "POST"
+    return (
+        F.when(get & p.isin(f"{prefix}/health", f"{prefix}/stores"), OPEN)
+        .when(post & p.isin(f"{prefix}/sync", f"{prefix}/shutdown"), OWNER)
+        .when(post & p.rlike(f"^{prefix}/[^/]+/[^/]+/(sync|import)$"), WRITE)
+        .otherwise(READ)
+    )
+
+
+def gate(needs: Column, known: Column, service: Column, scopes: Column, is_owner: Column, has_owner: Column, same_soul: Column, soul_known: Column, strict_reads: Column) -> Column:
+    """200, or the status a caller is refused with. Only a service, which acts under a grant, is held to a scope; a store that isn't served is let through for its handler to say so."""
+    lacks = lambda word: service & ~F.array_contains(scopes, word)
+    reading = F.when(~known, F.when(strict_reads, 401).otherwise(200)).when(lacks(READ), 403).otherwise(200)
+    writing = F.when(~known, 401).when(lacks(WRITE), 403).when(~soul_known | is_owner | same_soul, 200).otherwise(403)
+    owning = F.when(~known, 401).when(has_owner & is_owner & ~service, 200).otherwise(403)
+    return F.when(needs == OPEN, 200).when(needs == READ, reading).when(needs == WRITE, writing).otherwise(owning)
 
 
 def registry_problems(entries: DataFrame, key: str, order: str) -> DataFrame:
@@ -42,3 +55,45 @@ def directory_metrics(source: DataFrame, mirror: DataFrame) -> DataFrame:
     """One row over the full join of (path, size): files in both, only here or there, bytes behind, growing."""
     j = source.select("path", F.col("size").alias("a")).join(mirror.select("path", F.col("size").alias("b")), "path", "full")
     return j.agg(F.count_if("a is not null and b is not null").alias("in_both"), F.count_if("b is null").alias("missing"), F.count_if("a is null").alias("only_mirror"), F.coalesce(F.sum(F.greatest(F.col("a") - F.coalesce("b", F.lit(0)), F.lit(0))), F.lit(0)).alias("bytes_behind"), F.count_if("a > b").alias("growing"))
+
+
+def recall(store, term: str) -> dict:
+    """What a memory and its transcripts say of a term: how often it was said, first and last; notes by month; the highest merge; the last five notes."""
+    import re
+
+    text = term.lower().replace("\\", "\\\\").replace('"', '\\"')
+    word = "(^|[^A-Za-z0-9_])" + re.escape(term) + "($|[^A-Za-z0-9_])"
+    word = word.replace("\\", "\\\\").replace('"', '\\"')
+    hit = f'FILTER(CONTAINS(LCASE(?x), "{text}") && REGEX(?x, "{word}", "i"))'
+    memory = f"<{M.NAMES.root}graph/NamedGraph/memory>"
+    rows = lambda q: [r.asDict() for r in store.query(q).plain().collect()]
+    said = rows(f"SELECT (COUNT(DISTINCT ?u) AS ?n) (MIN(STR(?ts)) AS ?first) (MAX(STR(?ts)) AS ?last) {{ GRAPH ?g {{ ?u a :Turn ; :text ?x ; :timestamp ?ts {hit} }} }}")[0]
+    top = rows(f"SELECT ?a ?b ?x {{ GRAPH {memory} {{ ?m :memoryLevel ?l ; :logStart ?a ; :logEnd ?b ; :memoryText ?x FILTER(?l > 0) {hit} }} }} ORDER BY DESC(?l) ?a LIMIT 1")
+    noted = f"GRAPH {memory} {{ ?m :memoryLevel 0 ; :logStart ?i ; :windowStart ?ts ; :memoryText ?x {hit} }}"
+    months = rows(f"SELECT ?month (COUNT(?m) AS ?n) {{ {noted} BIND(SUBSTR(STR(?ts), 1, 7) AS ?month) }} GROUP BY ?month ORDER BY ?month")
+    last = rows(f"SELECT ?i ?ts ?x {{ {noted} }} ORDER BY DESC(?i) LIMIT 5")
+    return {"said": int(said["n"]), "first": said["first"], "last": said["last"], "months": {r["month"]: int(r["n"]) for r in months}, "highest": top[0] if top else None, "latest": last[::-1]}
+
+
+def attributed(history: DataFrame, on_disk: DataFrame, mirrored: DataFrame, here: str, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mine, unattributed) of the conversations on disk (conv_id, has_full, has_short).
+
+    Mine are those that the history (workspace, conv_id) records under this folder, and those that the mirror holds while every folder
+    they are recorded under is gone. What the history never names is reported, not dropped. The full transcript is preferred; ``short_only`` marks the rest."""
+    held = on_disk.where("has_full or has_short").withColumns({"source": F.when(F.col("has_full"), "transcript_full").otherwise("transcript"), "short_only": ~F.col("has_full")})
+    named = history.where("workspace is not null and conv_id is not null").distinct()
+    living = named.join(existing.select("workspace").distinct(), "workspace", "left_semi").select("conv_id").distinct()
+    by_folder = named.where((F.col("workspace") == here)).join(existing.select("workspace").distinct(), "workspace", "left_semi").select("conv_id").distinct().withColumn("ground", F.lit("workspace"))
+    proven = named.select("conv_id").distinct().join(living, "conv_id", "left_anti").join(mirrored.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("ground", F.lit("mirror"))
+    mine = held.join(by_folder.unionByName(proven), "conv_id").select("conv_id", "source", "short_only", "ground")
+    return mine, held.join(named.select("conv_id").distinct(), "conv_id", "left_anti").select("conv_id")
+
+
+def findings(sync: DataFrame) -> DataFrame:
+    """(attention, line) about a soul's files from one row of metrics: what needs looking at first."""
+    rules = [
+        (F.col("missing") > 0, True, F.concat(F.col("missing").cast("string"), F.lit(" transcripts are not mirrored"))), (F.col("stale") > 0, True, F.concat(F.col("stale").cast("string"), F.lit(" mirrors are behind and nothing is being written"))),
+        (F.col("unattributed") > 0, True, F.concat(F.col("unattributed").cast("string"), F.lit(" conversations belong to no folder"))), (F.col("failed") > 0, True, F.concat(F.col("failed").cast("string"), F.lit(" files failed"))), (F.col("growing") > 0, False, F.concat(F.col("growing").cast("string"), F.lit(" transcripts are being written"))),
+    ]
+    lines = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(a).alias("attention"), line.alias("line"))) for when, a, line in rules))
+    return sync.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("x")).select("x.*")

@@ -55,6 +55,45 @@ def replace_graphs(current: DataFrame, new: DataFrame) -> DataFrame:
     return current.join(graphs, "g", "left_anti").unionByName(new).dropDuplicates(M.QUAD_COLUMNS)
 
 
+def annotated_only(events: DataFrame, annotations: DataFrame) -> DataFrame:
+    """The events that a finding is about."""
+    return events.join(annotations.select("event_id").distinct(), "event_id", "left_semi")
+
+
+def export_pass(versions: DataFrame, manifest: DataFrame, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(to do, manifest after): conversations (export, uuid, version_key) whose newest version isn't in the manifest (uuid, version_key); those that failed stay to do."""
+    from tarn.sources.export import newest
+
+    todo = newest(versions).join(manifest.select("uuid", "version_key"), ["uuid", "version_key"], "left_anti")
+    done = todo.select("uuid", "version_key")
+    if failed is not None:
+        done = done.join(failed.select("uuid").distinct(), "uuid", "left_anti")
+    kept = manifest.select("uuid", "version_key").join(done.select("uuid"), "uuid", "left_anti")
+    return todo, kept.unionByName(done)
+
+
+def import_export(source: str, target: str) -> int:
+    """Copies an export folder's files byte by byte, each by a temporary name and a rename; the same name with other bytes is refused. Returns the bytes copied."""
+    import filecmp
+    import os
+    import shutil
+    from pathlib import Path
+
+    total = 0
+    Path(target).mkdir(parents=True, exist_ok=True)
+    for f in sorted(p for p in Path(source).iterdir() if p.is_file()):
+        to = Path(target) / f.name
+        if to.exists():
+            if not filecmp.cmp(f, to, shallow=False):
+                raise FileExistsError(f"{to} is there with other bytes")
+            continue
+        part = to.with_name(f".{to.name}.part")
+        shutil.copyfile(f, part)
+        os.replace(part, to)
+        total += to.stat().st_size
+    return total
+
+
 def described(graphs: DataFrame, kind: str = "TranscriptGraph", owner: str | None = None) -> DataFrame:
     """What the unnamed graph says of each graph: its class, that it is private, and its owner if known."""
     from tarn.operators.project import iri, lit, quads

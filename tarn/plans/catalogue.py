@@ -540,15 +540,19 @@ def settle_flush(spark, sf_dir):
     return u.select("user_id", flush_decision(F.col("b"), F.col("oldest"), F.col("newest")).alias("decision"))
 
 
-ROUTE = "['health', 'stats', 'query', 'sync', 'admin', 'nowhere'][(n_nationkey % 6) + 1]"
+GATE = """with g as (select n_nationkey k, case when n_nationkey % 2 = 0 then 'POST' else 'GET' end method, ['/api/health', '/api/sync', '/api/org/st/import', '/api/org/st/query', 'api/stores/'][(n_nationkey % 5) + 1] path, n_nationkey % 4 <> 0 known, n_nationkey % 3 = 0 service, case when n_nationkey % 6 = 0 then ['read'] else ['read', 'write'] end scopes, n_nationkey % 7 = 1 is_owner, n_nationkey % 8 <> 5 has_owner, n_nationkey % 5 = 2 and n_nationkey % 2 = 0 same_soul from nation),
+n as (select *, case when method = 'GET' and path in ('/api/health', 'api/stores/') then 'nothing' when method = 'POST' and path = '/api/sync' then 'owner' when method = 'POST' and path like '%/import' then 'write' else 'read' end needs from g)
+select k, needs, (case needs when 'nothing' then 200 when 'read' then case when not known then 401 when service and not list_contains(scopes, 'read') then 403 else 200 end when 'write' then case when not known then 401 when service and not list_contains(scopes, 'write') then 403 when is_owner or same_soul then 200 else 403 end else case when not known then 401 when has_owner and is_owner and not service then 200 else 403 end end)::int status from n"""
 
 
-@query(f"with g as (select n_nationkey, {ROUTE} route, ['read', 'write', 'owner'][(n_nationkey % 3) + 1] scope, n_nationkey % 4 <> 0 known from nation), r as (select *, case route when 'stats' then 1 when 'query' then 1 when 'sync' then 2 when 'admin' then 3 else 0 end need, case scope when 'owner' then 3 when 'write' then 2 else 1 end have from g) select n_nationkey, route, scope, case when route = 'nowhere' then '404' when route = 'health' then 'allow' when not known then '401' when have < need then '403' else 'allow' end verdict from r")
+@query(GATE)
 def gate_table(spark, sf_dir):
     k = F.col("n_nationkey")
-    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int") + 1)
-    g = table(spark, sf_dir, "nation").select(k, pick(["health", "stats", "query", "sync", "admin", "nowhere"]).alias("route"), pick(["read", "write", "owner"]).alias("scope"))
-    return g.withColumn("verdict", diagnostics.gate(F.col("route"), F.col("scope"), k % 4 != 0))
+    paths = F.array(*map(F.lit, ["/api/health", "/api/sync", "/api/org/st/import", "/api/org/st/query", "api/stores/"]))
+    needs = diagnostics.route_needs(F.when(k % 2 == 0, "POST").otherwise("GET"), F.element_at(paths, (k % 5).cast("int") + 1))
+    scopes = F.when(k % 6 == 0, F.array(F.lit("read"))).otherwise(F.array(F.lit("read"), F.lit("write")))
+    status = diagnostics.gate(F.col("needs"), k % 4 != 0, k % 3 == 0, scopes, k % 7 == 1, k % 8 != 5, (k % 5 == 2) & (k % 2 == 0), F.lit(True), F.lit(True))
+    return table(spark, sf_dir, "nation").withColumn("needs", needs).select(k.alias("k"), "needs", status.cast("int").alias("status"))
 
 
 # texts
