@@ -220,3 +220,16 @@ def pipeline_stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"), 3, 85)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP6_SQL = f"""
+with recursive d as (select row_number() over () rid, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select distinct rid, case when len(w) < 3 then array_to_string(w, ' ') else w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] end g from (select *, unnest(generate_series(1, greatest(len(w) - 2, 1))) i from d where len(w) > 0)),
+n as (select rid, count(*) n from s group by rid),
+p as (select a.rid x, b.rid y, count(*) i from s a join s b using (g) where a.rid < b.rid group by all),
+l as (select x, y from p join n a on a.rid = x join n b on b.rid = y where 100 * i >= 85 * (a.n + b.n - i)),
+e as (select x, y from l union all select y, x from l),
+r as (select rid a, rid b from d union select r.a, e.y from r join e on e.x = r.b),
+c as (select a rid, min(doc_id) component_id from r join d on d.rid = r.b group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, coalesce(doc_id = component_id, component_id is null) kept from d join c using (rid) left join n using (rid)"""

@@ -282,3 +282,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op5_passages(spark, sf_dir: str) -> DataFrame:
     return deduplicated(common.table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = f"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+x as (select rid, doc_id, i, w[i] word, case when i + {WINDOW - 1} <= len(w) then sha256(array_to_string(w[i:i + {WINDOW - 1}], ' ')) end win from (select *, unnest(generate_series(1, len(w))) i from d)),
+f as (select win, min(doc_id) first_doc from x where win is not null and doc_id is not null group by win),
+g as (select rid, i, word, coalesce(first_doc < doc_id, false)::int hit from x left join f using (win)),
+c as (select rid, i, word, max(hit) over (partition by rid order by i rows between {WINDOW - 1} preceding and current row) gone from g),
+a as (select rid, sum(gone) n_removed, string_agg(word, ' ' order by i) filter (gone = 0) kept from c group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join a using (rid)"""
