@@ -106,14 +106,18 @@ def described(graphs: DataFrame, kind: str = "TranscriptGraph", owner: str | Non
 class QuadTable:
     """Quads in Parquet, partitioned by a bucket of the graph and sorted by (p, s). Replacing a graph rewrites its bucket only."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, parts: int = 8):
+        self.spark, self.path, self.buckets, self.parts = spark, path, buckets, parts
 
     def _placed(self, q: DataFrame) -> DataFrame:
         return q.select(*M.QUAD_COLUMNS, F.coalesce(M.graph_bucket(F.col("g"), self.buckets), F.lit(-1)).alias("gb"))
 
+    def _dealt(self, q: DataFrame) -> DataFrame:
+        """By bucket and a few parts of its subjects, so that one large graph isn't one task; sorted for row-group statistics."""
+        return q.repartition("gb", F.pmod(F.xxhash64("s"), F.lit(self.parts))).sortWithinPartitions("gb", "p", "s")
+
     def create(self, q: DataFrame) -> None:
-        self._placed(q).repartition("gb").sortWithinPartitions("gb", "p", "s").write.mode("overwrite").partitionBy("gb").parquet(self.path)
+        self._dealt(self._placed(q)).write.mode("overwrite").partitionBy("gb").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(f"{M.QUAD}, gb int").parquet(self.path)
@@ -124,7 +128,7 @@ class QuadTable:
         # a bucket that would be left empty keeps a row that no reader sees as a statement: it has no subject
         rest = self.spark.createDataFrame([(b,) for b in touched], "gb int").select(*(F.lit(None).cast(t).alias(c) for c, t in zip(M.QUAD_COLUMNS, ["string"] * 7 + ["struct<s:string,p:string,o:string>"], strict=True)), "gb")
         rows = self._placed(old.where("s is not null").unionByName(new).dropDuplicates(M.QUAD_COLUMNS)).unionByName(rest)
-        rows.repartition("gb").sortWithinPartitions("gb", "p", "s").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gb").parquet(self.path)
+        self._dealt(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gb").parquet(self.path)
 
     def replace(self, new: DataFrame) -> None:
         new = new.persist()

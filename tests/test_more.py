@@ -82,3 +82,35 @@ def test_findings_lines(spark):
 def test_annotated_only(spark):
     e = spark.createDataFrame([("a",), ("b",)], "event_id string")
     assert ingest.annotated_only(e, spark.createDataFrame([("b",), ("b",)], "event_id string")).count() == 1
+
+
+def test_finding_log(spark, tmp_path):
+    import json
+
+    from tarn.sources import finding_log, lines
+
+    rows = [
+        {"reader": "r", "event_type": "e/x", "ts": "2026-01-01T00:00:00Z", "anchor": {"seq": 4, "src_uuid": "", "turn_id": "t9", "start": 0, "end": 7}, "evidence": {"seqs": [3, 4]}, "signal": {"n": 3, "f": 0.5, "b": True, "s": "x y", "none": None, "confidence": 0.9, "version": 2}},
+        {"reader": "r", "anchor": {}, "signal": "plain"}, {"reader": "render", "anchor": {}, "signal": {}},
+    ]
+    (tmp_path / "t1.monolog.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"reader": "r", "anch')
+    got = finding_log.scan(lines.read_lines(spark, str(tmp_path)))
+    assert got.count() == 2 and {r["conv_id"] for r in got.collect()} == {"t1"}
+    q = finding_log.triples(got.unionByName(got)).collect()
+    by = lambda p: sorted((r["o"] or r["tt"]["s"]).rsplit("/", 2)[-1] for r in q if r["p"].endswith(p))
+    assert by("resolvedBy") == ["turn_id (src_uuid was empty)"] and by("graph/seq") == ["4"] and by("prov#used") == ["3", "4"]
+    assert by("reifies") == ["t1", "t9"] and by("sig_n") == ["3"] and not by("sig_none") and by("confidence") == ["0.9", "0.9"] and by("detectorVersion") == ["2"]
+    assert {r["dt"].rsplit("#")[-1] for r in q if "sig_" in r["p"]} == {"integer", "decimal", "boolean", "string"}
+    want = __import__("hashlib").sha1(json.dumps(("t1", "r", "", {}, "plain"), sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+    assert any(r["s"].endswith("claim/" + want) for r in q)
+
+
+def test_constants_reach_the_scan(spark, tmp_path):
+    e = spark.createDataFrame([("c", f"t{i}", "user") for i in range(9)], "conv_id string, event_id string, role string")
+    t = ingest.QuadTable(spark, str(tmp_path / "q"), 8)
+    t.create(project.turns(e))
+    s = Store(t.quads(), buckets=8)
+    r = s.query("SELECT ?t { GRAPH <graph/NamedGraph/c> { ?t :role \"user\" } }")
+    plan = r.df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(gb" in plan and "EqualTo(g," in plan and "Exchange" not in plan
+    assert r.df.count() == 9
