@@ -101,7 +101,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def recurring_windows(held: DataFrame) -> DataFrame:
-    """(anchor, wh, doc_id, pos) of the windows of (doc_id, key, text, heads) whose anchor recurs."""
+    """(anchor, wh, doc_id, pos) of the windows of (doc_id, text, heads) whose anchor recurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -219,26 +219,26 @@ def located(rows: DataFrame) -> DataFrame:
                 mask = shard.covered(int(r.doc_id), ws)
                 if r.n_shards == 1:
                     n = int(mask.sum())
-                    out.append((r.doc_id, r.key, n, digest([w for w, m in zip(ws, mask.tolist(), strict=True) if not m]) if n else None, None))
+                    out.append((r.doc_id, r.kh, n, digest([w for w, m in zip(ws, mask.tolist(), strict=True) if not m]) if n else None, None))
                 else:
-                    out.append((r.doc_id, r.key, None, None, np.flatnonzero(mask).astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "n_removed", "sha", "places"]).astype({"n_removed": "Int64"})
+                    out.append((r.doc_id, r.kh, None, None, np.flatnonzero(mask).astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "kh", "n_removed", "sha", "places"]).astype({"n_removed": "Int64"})
 
-    return rows.mapInPandas(run, "doc_id long, key string, n_removed long, sha string, places array<int>")
+    return rows.mapInPandas(run, "doc_id long, kh long, n_removed long, sha string, places array<int>")
 
 
 def finished(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, n_removed, sha) from (doc_id, key, text, places)."""
+    """(doc_id, kh, n_removed, sha) from (doc_id, kh, text, places)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, key, text, places in zip(pdf["doc_id"], pdf["key"], pdf["text"], pdf["places"], strict=True):
+            for doc, key, text, places in zip(pdf["doc_id"], pdf["kh"], pdf["text"], pdf["places"], strict=True):
                 gone, ws = set(np.asarray(places).tolist()), split(text)
                 out.append((doc, key, len(gone), digest([w for i, w in enumerate(ws) if i not in gone])))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "n_removed", "sha"])
+            yield pd.DataFrame(out, columns=["doc_id", "kh", "n_removed", "sha"])
 
-    return rows.mapInPandas(run, "doc_id long, key string, n_removed long, sha string")
+    return rows.mapInPandas(run, "doc_id long, kh long, n_removed long, sha string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -248,12 +248,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_docs = common.stored(described(docs), "described")
     firsts = common.stored(all_docs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("key", "rep"), "copies")
-    marked = common.stored(all_docs.join(firsts, "key", "left").select("doc_id", "key", "n_words", "anchors", (F.col("rep").isNotNull() & (F.col("doc_id") > F.col("rep"))).alias("copy")), "marked")
-    own = marked.where("not copy and doc_id is not null and n_words >= %d" % WINDOW).select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    marked = common.stored(all_docs.join(firsts, "key", "left").select("doc_id", "key", F.xxhash64("key").alias("kh"), "n_words", "anchors", (F.col("rep").isNotNull() & (F.col("doc_id") > F.col("rep"))).alias("copy")), "marked")
+    own = marked.where("not copy and doc_id is not null and n_words >= %d" % WINDOW).select("doc_id", "kh", F.explode("anchors").alias("anchor"))
     recurring = common.stored(own.groupBy("anchor").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last")).where("m < last").select("anchor", "m"), "recurring")
-    heads = own.join(recurring, "anchor").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "m")).alias("heads"))
+    heads = own.join(recurring, "anchor").groupBy("doc_id", "kh").agg(F.collect_set(F.struct("anchor", "m")).alias("heads"))
     heads = common.stored(heads, "heads")
-    held = docs.where(_maybe_in(heads, "doc_id", 22)).withColumn("key", F.sha2(F.array_join(common.words(common.text_of("text")), " "), 256)).join(heads, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    held = docs.where(_maybe_in(heads, "doc_id", 22)).withColumn("kh", F.xxhash64(F.sha2(F.array_join(common.words(common.text_of("text")), " "), 256))).join(heads, ["doc_id", "kh"]).dropDuplicates(["doc_id", "kh"])
     held = common.stored(held, "held")
     # windows in two documents or more, by their first document
     first = recurring_windows(held).groupBy("anchor", "wh").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("pos")).where("doc_id < last")
@@ -263,19 +263,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     shard = lambda m: F.pmod(F.xxhash64(m), F.lit(total // SHARD_WORDS + 1)).cast("int")
     foreign = F.array_distinct(F.transform(F.filter("heads", lambda x: x["m"] < F.col("doc_id")), lambda x: shard(x["m"])))
     visits = held.withColumn("shards", foreign).where(F.size("shards") > 0)
-    load = visits.join(marked.select("doc_id", "key", "n_words"), ["doc_id", "key"]).select(F.explode("shards").alias("shard"), "n_words").groupBy("shard").agg((F.sum("n_words") / SALT_WORDS + 1).cast("int").alias("salts"))
+    load = visits.join(marked.select("doc_id", "kh", "n_words"), ["doc_id", "kh"]).select(F.explode("shards").alias("shard"), "n_words").groupBy("shard").agg((F.sum("n_words") / SALT_WORDS + 1).cast("int").alias("salts"))
     load = common.stored(load, "load")
-    stops = visits.select("doc_id", "key", "text", F.size("shards").alias("n_shards"), F.explode("shards").alias("shard")).join(load, "shard")
-    doc_rows = stops.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "key", "text", "n_shards", F.lit(None).cast("array<int>").alias("places"))
+    stops = visits.select("doc_id", "kh", "text", F.size("shards").alias("n_shards"), F.explode("shards").alias("shard")).join(load, "shard")
+    doc_rows = stops.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "kh", "text", "n_shards", F.lit(None).cast("array<int>").alias("places"))
     phrase = passages.withColumn("shard", shard(F.col("head"))).groupBy("shard", "owner", "first", "body").agg(F.flatten(F.collect_list("places")).alias("places")).join(load, "shard")
-    phrase_rows = phrase.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), F.lit("").alias("key"), F.col("body").alias("text"), F.lit(0).alias("n_shards"), "places")
+    phrase_rows = phrase.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), F.lit(0).cast("long").alias("kh"), F.col("body").alias("text"), F.lit(0).alias("n_shards"), "places")
     rows = phrase_rows.unionByName(doc_rows).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     hits = common.stored(located(rows), "hits")
-    parts = hits.where("places is not null").groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).where(F.size("places") > 0)
+    parts = hits.where("places is not null").groupBy("doc_id", "kh").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).where(F.size("places") > 0)
     parts = common.stored(parts, "parts")
-    many = finished(held.select("doc_id", "key", "text").where(_maybe_in(parts, "doc_id", 22)).join(parts, ["doc_id", "key"]))
-    removed = hits.where("n_removed > 0").select("doc_id", "key", "n_removed", "sha").unionByName(many)
-    out = marked.join(removed, ["doc_id", "key"], "left")
+    many = finished(held.select("doc_id", "kh", "text").where(_maybe_in(parts, "doc_id", 22)).join(parts, ["doc_id", "kh"]))
+    removed = hits.where("n_removed > 0").select("doc_id", "kh", "n_removed", "sha").unionByName(many)
+    out = marked.join(removed, ["doc_id", "kh"], "left")
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
     return out.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(gone, F.lit(EMPTY)).otherwise(F.coalesce("sha", "key")).alias("kept_sha256"))
 
