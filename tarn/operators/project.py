@@ -184,3 +184,15 @@ def readdressed(q: DataFrame, old: str, new: str) -> DataFrame:
     move = lambda x: F.when(x.startswith(old), F.concat(F.lit(new), F.substring(x, F.lit(len(old) + 1), F.length(x)))).otherwise(x)
     tt = F.when(F.col("tt").isNotNull(), F.struct(move(F.col("tt.s")).alias("s"), move(F.col("tt.p")).alias("p"), F.col("tt.o").alias("o")))
     return q.withColumns({"g": move(F.col("g")), "s": move(F.col("s")), "p": move(F.col("p")), "o": F.when(F.col("o_kind") == "iri", move(F.col("o"))).otherwise(F.col("o")), "tt": tt})
+
+
+def move_report(before: DataFrame, after: DataFrame, old: str, new: str) -> DataFrame:
+    """One row: statements, turns and links before and after a move of addresses, what still has the old ones, and whether it may stand."""
+    turn, link = M.V("turnId"), M.V("relatedToId")
+
+    def counts(q: DataFrame, root: str, end: str) -> DataFrame:
+        return q.agg(F.count("*").alias(f"statements_{end}"), F.count_distinct(F.when(F.col("p").endswith(turn.rsplit("/", 1)[-1]), F.col("s"))).alias(f"turns_{end}"), F.count_if(F.col("p").endswith(link.rsplit("/", 1)[-1])).alias(f"links_{end}"), F.count_if(F.col("s").startswith(root)).alias(f"at_{end}"), F.lit(1).alias("_k"))
+
+    both = counts(before, old, "before").join(counts(after, old, "after"), "_k").drop("_k")
+    same = (F.col("statements_before") == F.col("statements_after")) & (F.col("turns_before") == F.col("turns_after")) & (F.col("links_before") == F.col("links_after")) & (F.col("at_after") == 0)
+    return both.withColumn("ok", same)

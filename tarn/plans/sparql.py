@@ -75,6 +75,19 @@ class Result:
         """The answers as plain texts."""
         return self.df.select(*(lexical(F.col(n)).alias(n) for n in self.names))
 
+    def n_triples(self) -> DataFrame:
+        """(line) of a CONSTRUCT or DESCRIBE answer."""
+        from tarn.functions.text import escaped
+
+        def term(x: Column) -> Column:
+            dt, lang, text = datatype(x), F.split_part(x, F.lit(SEP), F.lit(2)), escaped(lexical(x))
+            end = F.when(lang != "", F.concat(F.lit("@"), lang)).when(dt == M.STRING, "").otherwise(F.concat(F.lit("^^<"), dt, F.lit(">")))
+            parts = F.split(F.substring(x, F.lit(2), F.length(x)), SEP)
+            triple = F.concat(F.lit("<<( <"), F.get(parts, 0), F.lit("> <"), F.get(parts, 1), F.lit('> "'), escaped(F.get(parts, 2)), F.lit('" )>>'))
+            return F.when(x.startswith("L"), F.concat(F.lit('"'), text, F.lit('"'), end)).when(x.startswith("T"), triple).when(x.startswith("_"), F.concat(F.lit("_:"), lexical(x))).otherwise(F.concat(x, F.lit(">")))
+
+        return self.df.select(F.concat_ws(" ", *(term(F.col(c)) for c in ("s", "p", "o")), F.lit(".")).alias("line"))
+
     def to_json(self) -> dict:
         """SPARQL results JSON; unbound variables are left out."""
         if self.form == "ASK":

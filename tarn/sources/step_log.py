@@ -29,6 +29,18 @@ def unique_steps(lines: DataFrame) -> DataFrame:
     return got.select("conv_id", "step", F.when(F.col("canon") == F.col("_other"), F.col("canon")).otherwise(clash).alias("canon")).withColumn("v", F.parse_json("canon")).drop("canon")
 
 
+def clashes(lines: DataFrame) -> DataFrame:
+    """(conv_id, step) under which different rows stand."""
+    return rows(lines).groupBy("conv_id", "step").agg(F.count_distinct("canon").alias("n")).where("n > 1").select("conv_id", "step")
+
+
+def events_or_failed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, failed): one bad conversation never stops the rest; it is named with the reason."""
+    bad = clashes(lines)
+    failed = bad.groupBy("conv_id").agg(F.min("step").alias("step")).select("conv_id", F.concat(F.lit("duplicate step_index "), F.col("step").cast("string"), F.lit(" with differing rows")).alias("reason"))
+    return events(lines.join(bad.select("conv_id").distinct(), "conv_id", "left_anti")), failed
+
+
 def quality(lines: DataFrame) -> DataFrame:
     """(conv_id, malformed, duplicates, truncated, statuses, gaps). Statuses and truncations are counted before copies collapse; a row without an index counts as malformed only."""
     v = F.col("v")

@@ -17,7 +17,7 @@ SETTLE_MINUTES, FLUSH_BYTES, FLUSH_HOURS, CALLS_A_PASS = 30, 24_000, 6, 60
 
 def flush_decision(size: Column, oldest: Column, now: Column) -> Column:
     """Enough bytes, or something old enough; else wait."""
-    old = F.expr("true") & (oldest < now - F.expr(f"interval {FLUSH_HOURS} hours"))
+    old = oldest < now - F.expr(f"interval {FLUSH_HOURS} hours")
     return F.when(size >= FLUSH_BYTES, "flush-size").when(old, "flush-age").otherwise("wait")
 
 
@@ -31,6 +31,15 @@ def fair_share(rows: DataFrame, owner: str, order: str, limit: int = CALLS_A_PAS
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(owner).orderBy(order))).where(F.col("_n") <= limit).drop("_n")
 
 
+PAUSE_MINUTES, RETRY_MINUTES = 30, 60
+
+
+def due(state: DataFrame, now: Column) -> DataFrame:
+    """Owners (owner, dirty, paused_at, failed_at) that a pass may take: changed, and no pause or failure is too recent."""
+    old = lambda c, n: F.col(c).isNull() | (F.col(c) <= now - F.expr(f"interval {n} minutes"))
+    return state.where(F.col("dirty") & old("paused_at", PAUSE_MINUTES) & old("failed_at", RETRY_MINUTES))
+
+
 def file_lines(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
     """New files of a folder as lines. Files that are rewritten in place aren't seen here: re-scan those by their hash."""
     raw = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch).option("wholetext", "true").text(folder)

@@ -114,3 +114,50 @@ def test_constants_reach_the_scan(spark, tmp_path):
     plan = r.df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(gb" in plan and "EqualTo(g," in plan and "Exchange" not in plan
     assert r.df.count() == 9
+
+
+def test_dates(spark):
+    from tarn.functions import dates
+
+    df = spark.createDataFrame([("2026-03-04T05:06:07.5Z", "2026-03-09", "2026-03-04"), ("nonsense-é-long", "2027-01-01", "2026-12-31"), ("", "", "")], "ts string, b string, a string")
+    got = df.select(dates.local_date(F.col("ts")), dates.unix(F.col("ts")), dates.short(F.col("ts")), dates.span(F.col("a"), F.col("b"))).collect()
+    assert tuple(got[0]) == ("2026-03-04", 1772600767, "2026-03-04 05:06", "2026-03-04..03-09")
+    assert (got[1][0], got[1][1], got[1][3]) == ("nonsense-é", None, "2026-12-31..2027-01-01")
+    assert got[2][3] == ""
+
+
+def test_writer_asks_again():
+    from tarn.operators import writer
+
+    said = iter(["", "a\nb", '{"a": 1}', "#0-1 compressed", "fine"])
+    got = writer.ask(lambda p: (next(said), 2, 1), "P", "0-1")
+    assert got.line == "fine" and len(got.refused) == 4 and got.tokens_in == 10
+    assert writer.ask(lambda p: ("the compression budget is used", 1, 1), "P").line is None
+    assert writer.refusal("é" * 141).startswith("Too long: 282 bytes") and writer.ask(writer.first_words(), "hello\nx").line == "hello"
+
+
+def test_failed_conversations_are_named(spark, tmp_path):
+    import json
+
+    from tarn.sources import lines, step_log
+
+    for name, rows in (("good", [{"step_index": 0, "source": "MODEL"}]), ("bad", [{"step_index": 0, "source": "MODEL"}, {"step_index": 0, "source": "SYSTEM"}])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    ok, failed = step_log.events_or_failed(lines.read_lines(spark, str(tmp_path)))
+    assert [r["conv_id"] for r in ok.collect()] == ["good"] and [tuple(r) for r in failed.collect()] == [("bad", "duplicate step_index 0 with differing rows")]
+
+
+def test_move_report_and_constructed_lines(spark):
+    e = spark.createDataFrame([("c", "t0", "user", 'a "q"'), ("c", "t1", "user", "b")], "conv_id string, event_id string, role string, text string")
+    q = project.turns(e)
+    moved = project.readdressed(q, M.BASE, "https://new.example/")
+    assert project.move_report(q, moved, M.BASE, "https://new.example/").first()["ok"] and not project.move_report(q, q, M.BASE, "x").first()["ok"]
+    out = Store(q).query("CONSTRUCT { ?t :said ?x } WHERE { ?t :text ?x }").n_triples().collect()
+    assert sorted(r["line"] for r in out)[0] == f'<{M.BASE}graph/Turn/t0> <{M.V("said")}> "a \\"q\\"" .'
+
+
+def test_due(spark):
+    from tarn.streaming.passes import due
+
+    df = spark.sql("select * from values ('a', true, null, null), ('b', false, null, null), ('c', true, timestamp'2026-01-01 10:00:00', null), ('d', true, null, timestamp'2026-01-01 09:30:00'), ('e', true, timestamp'2026-01-01 09:00:00', null) as t(owner, dirty, paused_at, failed_at)")
+    assert [r["owner"] for r in due(df, F.lit("2026-01-01 10:10:00").cast("timestamp")).orderBy("owner").collect()] == ["a", "e"]
