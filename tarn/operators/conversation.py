@@ -61,21 +61,30 @@ def stream(turns: DataFrame) -> DataFrame:
 def stretches(ordered: DataFrame, size: Column, group: str, order: list[str], limit: int = STRETCH_BYTES) -> DataFrame:
     """Adds ``stretch`` from 0: a row that would take its stretch over ``limit`` opens the next one; none is empty.
 
-    A stretch depends on all before it in its group, so a group's sizes fold in one row; groups are apart, and only
-    (order, size) pairs are gathered, not texts."""
-    key = F.struct(*order)
-    folded = ordered.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), size.cast("long").alias("n")))).alias("rows"))
-    kind = folded.schema["rows"].dataType.elementType["k"].dataType.simpleString()
-    out_type = f"array<struct<k:{kind},stretch:int>>"
-    start = F.struct(F.lit(0).cast("long").alias("full"), F.lit(-1).alias("at"), F.array().cast(out_type).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["at"] < 0) | (a["full"] + x["n"] > limit)
-        at = F.when(fresh, a["at"] + 1).otherwise(a["at"])
-        row = F.array(F.struct(x["k"].alias("k"), at.alias("stretch")))
-        return F.struct(F.when(fresh, x["n"]).otherwise(a["full"] + x["n"]).alias("full"), at.alias("at"), F.concat(a["out"], row).cast(out_type).alias("out"))
-
-    placed = folded.select(group, F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select(group, *(F.col(f"r.k.{c}").alias(c) for c in order), "r.stretch")
+    A stretch depends on all before it in its group, so a group's sizes are one sorted stream. The fold keeps two numbers and
+    reads (group, order, size) batch by batch: a long group spills in its sort and is never held in memory; texts don't go through it."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    slim = ordered.select(group, *order, size.cast("long").alias("_n"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_n") + ", stretch int"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, full, at = object(), 0, 0
+        for pdf in batches:
+            out = []
+            for g, n in zip(pdf[group], pdf["_n"], strict=True):
+                if g != now:
+                    now, full, at = g, n, 0
+                elif full + n > limit:
+                    full, at = n, at + 1
+                else:
+                    full += n
+                out.append(at)
+            yield pdf.drop(columns="_n").assign(stretch=out)
+
+    placed = slim.repartition(group).sortWithinPartitions(group, *order).mapInPandas(fold, schema)
     return ordered.join(placed, [group, *order])
 
 
