@@ -273,6 +273,22 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_encodes_what_the_fast_engine_cannot(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = [" " * 2_000_000, "a" + "  \n" * 400_000 + "b", "x " * 30_000, "a" + " " * 15_000 + "b", *filter(None, sample_texts())]
+    out = packing.pack(docs_of(spark, texts).repartition(4), keep_ids=True).toPandas()
+    for i, t in enumerate(texts):
+        own = out[out.doc_id == i].sort_values("piece")
+        assert [x for p in own["ids"] for x in p] == [*loaded.encode(t, add_special_tokens=False).ids, 2]
+    encode = packing.Encoder()
+    wide = "a" + "\u3000\x1c" * 700_000
+    assert encode(wide).tolist() == loaded.encode(wide, add_special_tokens=False).ids
+    assert not packing.blank("a " * 50_000) and packing.blank("a" + " " * 20_000)
+
+
 def test_plan_fills_every_slot_once():
     r = random.Random(2)
     for _ in range(30):
