@@ -1,8 +1,7 @@
 """Quality rules, in DataFrame functions only: plain counts of each text, and a hashed n-gram log-likelihood ratio.
 
-The ratio compares two multinomials over BUCKETS hashed one- and two-word n-grams: a trusted target (texts that
-``labels`` marks as good; at most TARGET_DOCS of them, those with the least md5 of doc_id) and the raw corpus
-(every text). A document's score is the mean over its n-grams of log p_target - log p_raw, and it is kept if its
+The ratio compares two multinomials over BUCKETS hashed one- and two-word n-grams: a trusted target (every text that
+``labels`` marks as good) and the raw corpus (every text). A document's score is the mean over its n-grams of log p_target - log p_raw, and it is kept if its
 base rules hold and the score is at least THRESHOLD. Null texts have no words, and texts without words score 0.
 """
 
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm import common
 
-BUCKETS, TARGET_DOCS, SMOOTH, THRESHOLD = 1 << 16, 20_000, 1.0, -0.1
+BUCKETS, SMOOTH, THRESHOLD = 1 << 16, 1.0, -0.1
+TARGET_DOCS = 20_000  # of the SQL only: beyond so many good texts it counts fewer than the query
 UNIT = 10_000  # weights are whole numbers of 1/UNIT, so that sums don't depend on their order
 SYMBOLS = "#*$%&|<>"
 MIX_A, MIX_B = 1_000_003, 31
@@ -77,14 +77,15 @@ def ngram_buckets(hashes: Column) -> Column:
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TARGET_DOCS)
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def log_ratios(read: DataFrame, labels: DataFrame) -> list[int]:
     """The weight of each bucket, from (doc_id, _h). Counts cover every text; the driver gets one row a bucket."""
-    flagged = read.select("doc_id", "_h").join(F.broadcast(target_ids(labels).withColumn("_good", F.lit(1))), "doc_id", "left")
-    grams = flagged.select("_good", F.explode(ngram_buckets(F.col("_h"))).alias("b"))
+    half = BUCKETS // 2  # buckets go through the join as two bytes each; a join of the same kind at every size
+    short = read.select("doc_id", F.transform("_h", lambda x: (x - half).cast("smallint")).alias("_s"))
+    flagged = short.join(target_ids(labels).withColumn("_good", F.lit(1)).hint("merge"), "doc_id", "left")
+    grams = flagged.select("_good", F.explode(ngram_buckets(F.transform("_s", lambda x: x.cast("int") + half))).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     full = read.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good")).toPandas().sort_values("b")
     import numpy as np

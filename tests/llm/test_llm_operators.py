@@ -82,6 +82,21 @@ def test_quality_rules_counts(spark):
 
 
 # 3
+def test_quality_target_counts_every_good_text(spark):
+    import numpy as np
+
+    n = 20_500
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    read = spark.range(n + 500).select(F.col("id").alias("doc_id"), F.array((F.col("id") % 7).cast("int")).alias("_h"))
+    good, raw = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for i in range(n + 500):
+        raw[i % 7] += 1
+        good[i % 7] += i < n
+    share = lambda c: np.log((c + quality_rules.SMOOTH) / (c.sum() + quality_rules.SMOOTH * quality_rules.BUCKETS))
+    want = np.round((share(good) - share(raw)) * quality_rules.UNIT).astype(int).tolist()
+    assert quality_rules.log_ratios(read, labels) == want
+
+
 def test_classifier_learns_and_has_defined_edges(spark):
     good, bad = ["plain words of a good text here now " + VOCAB[i % 12] * 2 for i in range(60)], ["bad### words$$$ all over&&& " + VOCAB[i % 12] for i in range(60)]
     df = docs_of(spark, [*good, *bad, None, "", "z" * 100_000], extra=True)
