@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset, as in tests, a new one of our own."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a new one of our own, in local mode only: on a cluster executors don't share the driver's disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tarn-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
@@ -45,6 +47,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``stored`` that nothing will read again."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_quotes": quotes.op8_quotes,
     "op9_packing": packing.op9_packing,
+    "quoted_replies": quotes.quoted_replies,
     "op10_matroska": matroska.op10_matroska,
 }
 #: Without one: training, byte-pair encoding and media muxing aren't for SQL; the tests hold those against plain versions.
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_quotes": quotes.OP8_SQL,
+    "quoted_replies": quotes.QUOTED_SQL,
 }
