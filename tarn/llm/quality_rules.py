@@ -2,7 +2,8 @@
 
 The ratio compares two multinomials over BUCKETS hashed one- and two-word n-grams: a trusted target (every text that
 ``labels`` marks as good) and the raw corpus (every text). A document's score is the mean over its n-grams of log p_target - log p_raw, and it is kept if its
-base rules hold and the score is at least THRESHOLD. Null texts have no words, and texts without words score 0.
+base rules hold and the score is at least THRESHOLD. Null texts have no words, and texts without words score 0. Repeated
+rows get a row each and count each; repeated labels count once; an empty table gives no rows; other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from tarn.llm import common
 
 BUCKETS, SMOOTH, THRESHOLD = 1 << 16, 1.0, -0.1
-TARGET_DOCS = 20_000  # of the SQL only: beyond so many good texts it counts fewer than the query
 UNIT = 10_000  # weights are whole numbers of 1/UNIT, so that sums don't depend on their order
 SYMBOLS = "#*$%&|<>"
 MIX_A, MIX_B = 1_000_003, 31
@@ -127,7 +127,7 @@ lines as (select rid, unnest(string_split(t, chr(10))) l from d),
 dup as (select rid, count(*) - count(distinct l) n_dup_lines from lines where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by rid),
 h as (select rid, i, ('0x' || substr(md5(word), 1, 7))::bigint % {BUCKETS} h from x),
 g as (select rid, h b from h union all select rid, (h * {MIX_A} + n * {MIX_B} + 7) % {BUCKETS} from (select rid, h, lead(h) over (partition by rid order by i) n from h) where n is not null),
-good as (select distinct doc_id from labels where quality = 1 and doc_id is not null order by md5(doc_id::varchar), doc_id limit {TARGET_DOCS}),
+good as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
 c as (select b, count(*) raw, count(*) filter (doc_id in (select doc_id from good)) good from g join d using (rid) group by b),
 w as (select b, round(((ln((coalesce(good, 0) + {SMOOTH}) / (sum(good) over () + {SMOOTH * BUCKETS}))) - ln((raw + {SMOOTH}) / (sum(raw) over () + {SMOOTH * BUCKETS}))) * {UNIT})::bigint w from c),
 s as (select rid, sum(w)::double / ({UNIT}.0::double * count(*)) llr from g join w using (b) group by rid),
