@@ -12,11 +12,13 @@ lacks. Only such pairs are confirmed, so a family of copies around p costs a row
 No candidate is capped or dropped.
 
 Texts without words, and nulls, are linked with nothing. Rows of one doc_id are rows like any others. A class
-without any doc_id has component_id null and its rows are kept.
+without any doc_id has component_id null and its rows are kept. An empty table gives no rows; other columns of any name
+don't matter to the classes and are kept by the pipeline's stage.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,10 @@ from tarn.llm import common, graph
 
 BANDS, ROWS = 32, 4
 CHUNK = 256
+#: The largest filter of ids has 2 to this many bits (2 MB).
+FILTER_BITS = 24
+#: Members of a star, or sharers of a shingle, that one task compares others with.
+HALL = 1024
 SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint64)
 # Odd multipliers of well-known 64-bit mixers.
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -85,8 +91,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bands). key names the set; it and bands are null for an empty one."""
+def signatures(docs: DataFrame, k: int, tag: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, key, bands), and ``tag`` if one is given. key names the set; it and bands are null for an empty one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -106,19 +112,23 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     last[key] = band_keys(signature(own))
                 rows.append((len(own), key, last[key]))
             out = pd.DataFrame(rows, columns=["n_shingles", "key", "bands"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out.astype({"doc_id": pdf["doc_id"].dtype})
+            yield pd.concat([pdf.drop(columns="text").reset_index(drop=True), out], axis=1)
 
     common.short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    given = [] if tag is None else [tag.alias("tag")]
+    kinds = "doc_id long, " + "tag string, " * len(given) + "n_shingles long, key binary, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *given, "text").mapInPandas(run, kinds)
 
 
 def _bit(ident: Column, log2: int) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(1 << log2))
 
 
-def _maybe_in(ids: DataFrame, column: str, log2: int = 20) -> Column:
-    """A filter of fixed size (2**log2 bits) that all the ids pass, and few others: it spares a shuffle of the texts."""
+def maybe_in(ids: DataFrame, column: str) -> Column:
+    """A filter that all the ids of a written table pass, and few others: it spares a shuffle of the texts.
+
+    It has eight bits or more for each id, up to FILTER_BITS in all; beyond that more texts pass, and exact joins follow in any case."""
+    log2 = min(FILTER_BITS, max(12, int(8 * ids.count()).bit_length()))
     bit = _bit(F.col(column), log2)
     rows = ids.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     words = [0] * (1 << log2 - 6)
@@ -128,7 +138,7 @@ def _maybe_in(ids: DataFrame, column: str, log2: int = 20) -> Column:
 
 
 def _sets(docs: DataFrame, k: int, holders: DataFrame) -> DataFrame:
-    """(key, s) for the holders (doc_id, key): their shingle sets, once each."""
+    """(key, s, pivot) for the holders (doc_id, key, pivot): their shingle sets, once each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -138,20 +148,38 @@ def _sets(docs: DataFrame, k: int, holders: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "s": [s.view(np.int64) for s in own]})
 
     holders = common.stored(holders, "holders")
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(_maybe_in(holders, "doc_id") | F.col("doc_id").isNull())
+    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe_in(holders, "doc_id") | F.col("doc_id").isNull())
     made = near.select("text").mapInPandas(run, "key binary, s array<long>")
     made = common.stored(made, "sets-all")
-    return common.stored(made.join(holders.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = common.stored(made.join(holders.select("key", "pivot"), "key").dropDuplicates(["key"]), "sets")
+    common.discard(made)
+    return sets
 
 
 def _linked(inter: Column, nx: Column, ny: Column, percent: int) -> Column:
     return inter * 100 >= (nx + ny - inter) * percent
 
 
-def _sized(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with the sets of both ends as ``sl`` and ``sr``."""
+def _sized(pairs: DataFrame, sets: DataFrame, left: str, right: str, pivots: bool = False) -> DataFrame:
+    """pairs with the sets of both ends as ``sl`` and ``sr``; with ``pivots`` the right ends are pivots, so only their sets are read again."""
     one = pairs.join(sets.select(F.col("key").alias(left), F.col("s").alias("sl")), left)
-    return one.join(sets.select(F.col("key").alias(right), F.col("s").alias("sr")), right)
+    other = sets.where("pivot") if pivots else sets
+    return one.join(other.select(F.col("key").alias(right), F.col("s").alias("sr")), right)
+
+
+def _halls(mixed: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``halls``: how many parts the members of a group are dealt over, so that no task compares more than about HALL of them with others."""
+    return mixed.join(mixed.groupBy(*keys).agg((F.count("*") / HALL + 1).cast("int").alias("halls")), list(keys))
+
+
+def _neighbours(left: DataFrame, right: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Join on the keys, on neighbouring sizes (linked sets have sizes within percent/100 of each other) and on a hall.
+
+    Every left row visits the three size classes that its own may be linked with, in all halls of its group; a right row is in one."""
+    size = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int")
+    spread = left.withColumn("sz", F.explode(F.sequence(size("n1") - 1, size("n1") + 1))).withColumn("hall", F.explode(F.sequence(F.lit(0), F.col("halls1") - 1)))
+    dealt = right.withColumn("sz", size("n2")).withColumn("hall", F.pmod(F.xxhash64("x2"), F.col("halls2")).cast("int"))
+    return spread.join(dealt, [*keys, "sz", "hall"])
 
 
 def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame:
@@ -163,10 +191,10 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
     weight = common.stored(crowded.groupBy("key").agg(F.sum("k").alias("w")), "weights")
     least = common.stored(crowded.join(weight, "key").groupBy("band").agg(F.max_by("key", "w").alias("p")), "pivots")
     stars = common.stored(crowded.join(least, "band").where("key <> p").select("p", F.col("key").alias("x")).distinct(), "stars")
-    at = stars.select(F.explode(F.array("p", "x")).alias("key")).distinct()
+    at = stars.select(F.explode(F.array(F.struct(F.col("p").alias("key"), F.lit(True).alias("pivot")), F.struct(F.col("x").alias("key"), F.lit(False).alias("pivot")))).alias("e")).groupBy("e.key").agg(F.max("e.pivot").alias("pivot"))
     holders = at.join(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key")
     sets = _sets(docs, k, holders)
-    seen = _sized(stars, sets, "x", "p").select("p", "x", F.size("sl").alias("n"), F.size("sr").alias("np"), F.array_except("sl", "sr").alias("extra"))
+    seen = _sized(stars, sets, "x", "p", pivots=True).select("p", "x", F.size("sl").alias("n"), F.size("sr").alias("np"), F.array_except("sl", "sr").alias("extra"))
     seen = seen.withColumn("a", F.size("extra")).withColumn("r", F.col("np") - F.col("n") + F.col("a")).withColumn("near", _linked(F.col("n") - F.col("a"), F.col("n"), F.col("np"), percent))
     seen = common.stored(seen, "compared")
     first = common.stored(graph.components(seen.where("near").select(F.col("p").alias("u"), F.col("x").alias("v"))), "components")
@@ -177,20 +205,19 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
     outer = member.where("out")
     if outer.isEmpty():
         return first
-    mixed = common.stored(member.join(outer.select("p").distinct(), "p", "left_semi"), "mixed")
+    mixed = common.stored(_halls(member.join(outer.select("p").distinct(), "p", "left_semi"), "p"), "mixed")
     slim = [F.col(c) for c in ("p", "x", "n", "a", "r", "cx", "out")]
     side = lambda df, t: df.select(*(F.col(c).alias(c if c in ("p", "e") else f"{c}{t}") for c in df.columns))
-    L, R = side(mixed.where("out").select(*slim), "1"), side(mixed.select(*slim), "2")
-    both = (F.col("cx1") != F.col("cx2")) & (~F.col("out2") | (F.col("x1") < F.col("x2")))
+    unmet = F.expr("cx1 <> cx2 and (not out2 or x1 < x2)")
     gap = lambda shared: (F.col("a1") + F.col("a2") + F.abs(F.col("r1") - F.col("r2")) - 2 * shared) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)
-    bare = L.join(R, (L["p"] == R["p"]) & both & gap(F.lit(0))).select("x1", "x2")
+    few = mixed.where(F.col("a") * percent <= F.col("n") * (100 - percent)).select(*slim, "halls")  # more extras than that need shared ones
+    bare = _neighbours(side(few.where("out"), "1"), side(few, "2"), ["p"], percent).where(unmet & gap(F.lit(0))).select("x1", "x2")
     # shared extras, rarest first: from a pair's first one on, no more than ``rest`` can be shared
     held = mixed.select(*slim, F.explode("extra").alias("e"))
     twice = held.groupBy("p", "e").agg(F.count("*").alias("k"), F.min("cx").alias("lo"), F.max("cx").alias("hi"), F.max("out").alias("any")).where("k > 1 and lo <> hi and any").select("p", "e", "k")
     order = W.partitionBy("p", "x").orderBy(F.desc("k"), "e")
-    held = common.stored(held.join(twice, ["p", "e"]).withColumn("rest", F.row_number().over(order)).drop("k"), "shared")
-    L, R = side(held.where("out"), "1"), side(held, "2")
-    met = L.join(R, (L["p"] == R["p"]) & (L["e"] == R["e"]) & both & gap(F.least("rest1", "rest2"))).select(L["p"], "x1", "x2", "n1", "n2", "a1", "a2", "r1", "r2").distinct()
+    held = common.stored(held.join(twice, ["p", "e"]).withColumn("rest", F.row_number().over(order)).withColumn("halls", (F.col("k") / HALL + 1).cast("int")).drop("k"), "shared")
+    met = _neighbours(side(held.where("out"), "1"), side(held, "2"), ["p", "e"], percent).where(unmet & gap(F.least("rest1", "rest2"))).select("p", "x1", "x2", "n1", "n2", "a1", "a2", "r1", "r2").distinct()
     extra = lambda t: side(mixed.select("p", "x", "extra"), t)
     met = met.join(extra("1"), ["p", "x1"]).join(extra("2"), ["p", "x2"]).withColumn("o", F.size(F.array_intersect("extra1", "extra2")))
     more = common.stored(bare.union(met.where(gap(F.col("o"))).select("x1", "x2")).distinct(), "more-pairs")
@@ -198,24 +225,36 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
     return graph.components(seen.where("near").select(F.col("p").alias("u"), F.col("x").alias("v")).union(sure))
 
 
-def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
-    signed = common.stored(signatures(docs, k), "signatures")
+def _labelled(docs: DataFrame, k: int, percent: int, tag: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, comp, component_id), and ``tag`` of each row if one is asked for; comp names the class, null for rows without words."""
+    signed = common.stored(signatures(docs, k, tag), "signatures")
     comps = links(docs, k, percent, signed)
     by_key = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("d")).join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     by_key = common.stored(by_key, "by-key")
     least = by_key.groupBy("comp").agg(F.min("d").alias("component_id"))
-    label = common.stored(by_key.join(least, "comp").select("key", "component_id"), "labels")
-    out = signed.select("doc_id", "n_shingles", "key").join(label, "key", "left")
+    label = common.stored(by_key.join(least, "comp").select("key", "comp", "component_id"), "labels")
+    return signed.select("doc_id", "n_shingles", "key", *(["tag"] if tag is not None else [])).join(label, "key", "left")
+
+
+def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     ident = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", ident.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    out = _labelled(docs, k, percent).select("doc_id", "n_shingles", ident.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def pipeline_stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class: the one with the least doc_id. Repeated rows go too."""
-    gone = classes(docs, k, percent).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    return left.withColumn("_t", F.sha2(common.text_of("text"), 256)).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    """One row of each class: that with the least doc_id, of equal ids the least digest of the text; null ids come last. Rows
+    without words stay. A row is known by its doc_id and text, so rows that share a doc_id are judged apart, and of rows
+    that repeat both one stays."""
+    tag = lambda t: F.md5(common.text_of(t))
+    rows = _labelled(docs, k, percent, tag("text")).where("comp is not null").select("doc_id", "tag", "comp")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    first = rows.groupBy("comp").agg(F.min(place).alias("w"))
+    gone = rows.join(first, "comp").where(place != F.col("w")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_gone")).distinct()
+    tagged = docs.withColumn("_tag", tag("text"))
+    left = tagged.join(common.stored(gone, "gone"), (F.col("_tag") == F.col("_gone")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return left.dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
