@@ -11,7 +11,8 @@
    shard's passages, each of which has one owner, and confirmed on the words; those of an earlier owner are covered.
 
 Null texts have no words. A null doc_id comes before and after nothing: its words stay and remove no other's.
-Rows that share a doc_id don't remove each other's words.
+Rows that share a doc_id don't remove each other's words, whatever their texts; each owns the windows that it has. Repeated rows
+get a row each; an empty table gives none; other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import common
-from tarn.llm.near_dedup import THIRD, _maybe_in, scatter
+from tarn.llm.near_dedup import THIRD, maybe_in, scatter
 
-WINDOW, ANCHOR = 50, 10
+WINDOW, ANCHOR = 50, 16
 SHARD_WORDS, SALT_WORDS = 50_000, 1_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -43,15 +44,6 @@ def numbers(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words."""
-    n = len(h) - k + 1
-    out = np.full(max(n, 0), k, np.uint64)
-    for j in range(k if n > 0 else 0):
-        out = scatter((out ^ h[j : n + j]) + THIRD)
-    return out
-
-
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
     """Hash of each run of ``window`` words, put together from runs of powers of two."""
     n, span, level, out = len(h) - window + 1, 1, h, None
@@ -71,7 +63,7 @@ def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
 
 def anchors(h: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each k-word run, place of the anchor of each window): the leftmost least."""
-    grams = rolled(h, k)
+    grams = window_hashes(h, k)
     if len(h) < window:
         return grams, np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(grams, window - k + 1)
@@ -101,7 +93,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def recurring_windows(held: DataFrame) -> DataFrame:
-    """(anchor, wh, doc_id, pos) of the windows of (doc_id, text, heads) whose anchor recurs."""
+    """(anchor, wh, doc_id) of the distinct windows of (doc_id, text, heads) whose anchor recurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,25 +103,29 @@ def recurring_windows(held: DataFrame) -> DataFrame:
                 grams, at = anchors(h)
                 known = np.array([x["anchor"] for x in heads], np.int64).view(np.uint64)
                 pos = np.flatnonzero(np.isin(grams[at], known))
-                rows.append((doc, grams[at][pos].view(np.int64), window_hashes(h, WINDOW)[pos].view(np.int64), pos.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "anchor", "wh", "pos"])
+                wh, first = np.unique(window_hashes(h, WINDOW)[pos], return_index=True)
+                rows.append((doc, grams[at][pos[first]].view(np.int64), wh.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "anchor", "wh"])
 
-    wide = held.select("doc_id", "text", "heads").mapInPandas(run, "doc_id long, anchor array<long>, wh array<long>, pos array<int>")
-    return wide.select("doc_id", F.explode(F.arrays_zip("anchor", "wh", "pos")).alias("w")).select("w.anchor", "w.wh", "doc_id", "w.pos")
+    wide = held.select("doc_id", "text", "heads").mapInPandas(run, "doc_id long, anchor array<long>, wh array<long>")
+    return wide.select("doc_id", F.explode(F.arrays_zip("anchor", "wh")).alias("w")).select("w.anchor", "w.wh", "doc_id")
 
 
 def cut_passages(owners: DataFrame) -> DataFrame:
-    """From (doc_id, text, heads, starts): a row for each passage and head: (owner, first, n, words, head, anchor places)."""
+    """From (doc_id, text, heads, starts), starts being the hashes of the windows that a row of this doc_id owns: a row for each
+    passage of the row's own text and each head: (owner, first, n, words, head, anchor places)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, heads, starts in zip(pdf["doc_id"], pdf["text"], pdf["heads"], pdf["starts"], strict=True):
+            for doc, text, heads, own in zip(pdf["doc_id"], pdf["text"], pdf["heads"], pdf["starts"], strict=True):
                 ws = split(text)
-                grams, at = anchors(numbers(ws))
+                h = numbers(ws)
+                grams, at = anchors(h)
                 head = {np.int64(x["anchor"]).astype(np.uint64): x["m"] for x in heads}
-                starts = np.sort(np.asarray(starts))
-                for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                wh, first_of = np.unique(window_hashes(h, WINDOW), return_index=True)
+                starts = np.sort(first_of[np.isin(wh, np.asarray(own, np.int64).view(np.uint64))])
+                for run_ in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
                     first, end = int(run_[0]), int(run_[-1]) + WINDOW
                     by_head = defaultdict(list)
                     for q in np.unique(at[run_]):
@@ -253,12 +249,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     recurring = common.stored(own.groupBy("anchor").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last")).where("m < last").select("anchor", "m"), "recurring")
     heads = own.join(recurring, "anchor").groupBy("doc_id", "kh").agg(F.collect_set(F.struct("anchor", "m")).alias("heads"))
     heads = common.stored(heads, "heads")
-    held = docs.where(_maybe_in(heads, "doc_id", 22)).withColumn("kh", F.xxhash64(F.sha2(F.array_join(common.words(common.text_of("text")), " "), 256))).join(heads, ["doc_id", "kh"]).dropDuplicates(["doc_id", "kh"])
+    held = docs.where(maybe_in(heads, "doc_id")).withColumn("kh", F.xxhash64(F.sha2(F.array_join(common.words(common.text_of("text")), " "), 256))).join(heads, ["doc_id", "kh"]).dropDuplicates(["doc_id", "kh"])
     held = common.stored(held, "held")
     # windows in two documents or more, by their first document
-    first = recurring_windows(held).groupBy("anchor", "wh").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("pos")).where("doc_id < last")
-    starts = common.stored(first.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "starts")
-    passages = common.stored(cut_passages(held.where(_maybe_in(starts, "doc_id", 22)).join(starts, "doc_id").dropDuplicates(["doc_id"])), "passages")
+    first = recurring_windows(held).groupBy("anchor", "wh").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id < last")
+    starts = common.stored(first.groupBy("doc_id").agg(F.collect_list("wh").alias("starts")), "starts")
+    passages = common.stored(cut_passages(held.where(maybe_in(starts, "doc_id")).join(starts, "doc_id")), "passages")
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shard = lambda m: F.pmod(F.xxhash64(m), F.lit(total // SHARD_WORDS + 1)).cast("int")
     foreign = F.array_distinct(F.transform(F.filter("heads", lambda x: x["m"] < F.col("doc_id")), lambda x: shard(x["m"])))
@@ -273,7 +269,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     hits = common.stored(located(rows), "hits")
     parts = hits.where("places is not null").groupBy("doc_id", "kh").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).where(F.size("places") > 0)
     parts = common.stored(parts, "parts")
-    many = finished(held.select("doc_id", "kh", "text").where(_maybe_in(parts, "doc_id", 22)).join(parts, ["doc_id", "kh"]))
+    many = finished(held.select("doc_id", "kh", "text").where(maybe_in(parts, "doc_id")).join(parts, ["doc_id", "kh"]))
     removed = hits.where("n_removed > 0").select("doc_id", "kh", "n_removed", "sha").unionByName(many)
     out = marked.join(removed, ["doc_id", "kh"], "left")
     gone = F.col("copy") & (F.col("n_words") >= WINDOW)
