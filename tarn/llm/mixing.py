@@ -4,10 +4,15 @@ Token counts of the cells (source, language, topic) are raked until their sums m
 value of each of the three. A document's probability is the budget times its cell's fitted weight over the
 cell's tokens; above 1 its whole part gives repeats, and the rest is drawn by a hash of doc_id, so a run can be
 repeated. Fitting works on the table of cells, never on documents: on the driver for at most DRIVER_CELLS cells, by
-windows over the written table beyond that; both give the same weights.
+joins with the sums of each dimension beyond that; both give the same weights. What is left of each margin's error after
+ROUNDS rounds is told (``margin_errors``).
 
-Null dimensions are a value of their own (empty text), null texts have no tokens. Cells without tokens keep
-weight 0 and their documents have probability 0. Repeated rows share their draw.
+Where a table has no ``topic``, a text's topic is the topic term that it has most of. Topic terms are the TERMS words, of the
+lower-cased words of all texts, that the most documents have, of those that at most a share TERM_SHARE of documents has.
+
+Null dimensions, and those that a table lacks, are a value of their own (empty text), as is the topic of a text without a
+topic term; null texts have no tokens. Cells without tokens keep weight 0 and their documents have probability 0. Repeated
+rows share their draw; long texts are read whole; an empty table gives no rows; other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -22,21 +27,39 @@ DIMS = ("source", "lang", "topic")
 #: Target shares: in proportion to tokens to this power (1: as they are, 0: all alike).
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 ROUNDS, BUDGET, SEED = 15, 0.5, "mix-1"
-TOPIC_LETTERS = "aeio"
+TERMS, TERM_SHARE = 16, 0.1
 DRIVER_CELLS = 50_000
 
 
-def topic_of(text: Column) -> Column:
-    """Stand-in for a topic column, which the tables lack: the letter of TOPIC_LETTERS that the whole text has most of, the first of equals."""
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in TOPIC_LETTERS]
-    return F.element_at(F.array(*map(F.lit, TOPIC_LETTERS)), F.array_position(F.array(*counts), F.greatest(*counts)).cast("int"))
+def lowered_words(text: Column) -> Column:
+    return common.words(F.translate(text, common.UPPER, common.LOWER))
+
+
+def topic_terms(docs: DataFrame, terms: int = TERMS, share: float = TERM_SHARE) -> list[str]:
+    """The words that the most documents have, of those that at most ``share`` of them has, over every text; ties in the order of the words. The driver gets ``terms`` words."""
+    each = docs.select(F.explode(F.array_distinct(lowered_words(common.text_of("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in each.where(F.col("n") <= F.lit(share) * docs.count()).orderBy(F.desc("n"), "w").limit(terms).collect()]
+
+
+def topic_of(words: Column, terms: list[str]) -> Column:
+    """The term that the words have most of, the first of equals; empty without any."""
+    if not terms:
+        return F.lit("")
+    known = F.array(*map(F.lit, terms))
+
+    def most(hits: Column) -> Column:
+        counts = F.transform(known, lambda t: F.size(F.filter(hits, lambda h: h == t)))
+        return F.when(F.size(hits) == 0, F.lit("")).otherwise(common.let(counts, lambda c: F.element_at(known, F.array_position(c, F.array_max(c)).cast("int"))))
+
+    return common.let(F.filter(words, lambda w: F.array_contains(known, w)), most)
 
 
 def described(docs: DataFrame) -> DataFrame:
     """Adds the dimensions without nulls (``_source``...) and ``n_tokens``."""
-    t = common.text_of("text")
-    dims = {f"_{d}": topic_of(t) if d == "topic" and d not in docs.columns else F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMS}
-    return docs.withColumns(dims | {"n_tokens": F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
+    terms = [] if "topic" in docs.columns else topic_terms(docs)
+    read = docs.withColumn("_words", lowered_words(common.text_of("text")))
+    dims = {f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) if d in docs.columns else topic_of(F.col("_words"), terms) if d == "topic" else F.lit("") for d in DIMS}
+    return read.withColumns(dims | {"n_tokens": F.size("_words").cast("long")}).drop("_words")
 
 
 def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
@@ -64,28 +87,40 @@ def _fitted_here(cells: DataFrame, powers: dict[str, float], rounds: int) -> Dat
 
 
 def _fitted_there(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
-    total = lambda x, *by: F.sum(x).over(W.partitionBy(*by))
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    sums = {}  # a value's share is its power over the sum of the powers of all values: three numbers
-    for d in powers:
-        out = out.withColumn(f"_m{d}", F.pow(total("tokens", f"_{d}").cast("double"), F.lit(powers[d])))
-        by_value = cells.groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("m"))
-        sums[d] = by_value.agg(F.coalesce(F.sum("m"), F.lit(1.0))).first()[0]
-    for k in range(rounds):
+    for d in powers:  # a value's share is its power over the sum of the powers of all values
+        by_value = common.stored(cells.groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("m")), "margin")
+        whole = by_value.agg(F.coalesce(F.sum("m"), F.lit(1.0))).first()[0]
+        out = out.join(by_value.select(f"_{d}", (F.col("m") / F.lit(whole)).alias(f"_m{d}")), f"_{d}")
+    for _ in range(rounds):
         for d in powers:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"_m{d}") / F.lit(sums[d]) / total("weight", f"_{d}"))
-        if k % 5 == 4:
-            out = common.stored(out, "fitting")
+            sums = out.groupBy(f"_{d}").agg(F.sum("weight").alias("_t"))
+            out = out.join(sums, f"_{d}").withColumn("weight", F.col("weight") * F.col(f"_m{d}") / F.col("_t")).drop("_t")
+        before, out = out, common.stored(out, "fitting")
+        common.discard(before) if _ else None
     return out.select(*cells.columns, "weight")
 
 
+def margin_errors(fit: DataFrame, powers: dict[str, float] = POWERS) -> dict[str, float]:
+    """What is left of each margin's error in fitted cells: the largest difference, over its values, between the share of the weights and the target share."""
+    out = {}
+    for d in powers:
+        by_value = fit.groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("m"), F.sum("weight").alias("w"))
+        whole = by_value.agg(F.sum("m").alias("m"), F.sum("w").alias("w")).first()
+        worst = by_value.agg(F.max(F.abs(F.col("w") / F.lit(whole["w"]) - F.col("m") / F.lit(whole["m"])))).first()[0] if whole["m"] else 0.0
+        out[d] = worst or 0.0
+    return out
+
+
 def probabilities(described_docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS) -> DataFrame:
-    """(dimensions, weight, prob) of each cell: prob times tokens, over all cells, is the budget share of all tokens."""
+    """(dimensions, weight, prob, margin_error) of each cell: prob times tokens, over all cells, is the budget share of all tokens; margin_error is the largest of ``margin_errors``."""
     keys = [f"_{d}" for d in DIMS]
     cells = common.stored(described_docs.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
     prob = F.round(F.lit(budget * total) * F.col("weight") / F.col("tokens"), 6)
-    return common.stored(fitted(cells, powers).select(*keys, F.round("weight", 9).alias("weight"), prob.alias("prob")), "mix")
+    fit = common.stored(fitted(cells, powers), "fitted")
+    worst = round(max(margin_errors(fit, powers).values()), 6)
+    return common.stored(fit.select(*keys, F.round("weight", 9).alias("weight"), prob.alias("prob"), F.lit(worst).alias("margin_error")), "mix")
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -108,29 +143,32 @@ def pipeline_stage(docs: DataFrame, budget: float = BUDGET, powers: dict[str, fl
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     own = common.stored(described(common.table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", *(f"_{d}" for d in DIMS)), "described")
     out = own.join(probabilities(own), [f"_{d}" for d in DIMS], "left")
-    prob = F.coalesce("prob", F.lit(0.0))
-    return out.select("doc_id", *(F.col(f"_{d}").alias(d) for d in DIMS), "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("cell_weight"), prob.alias("prob"), copies(prob, F.col("doc_id")).alias("copies"))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select("doc_id", *(F.col(f"_{d}").alias(d) for d in DIMS), "n_tokens", none("weight").alias("cell_weight"), none("prob").alias("prob"), copies(none("prob"), F.col("doc_id")).alias("copies"), none("margin_error").alias("margin_error"))
 
 
 def _sql() -> str:
     part = ", ".join(DIMS)
-    letters = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in TOPIC_LETTERS)
     steps, last = [], "r0"
     for k in range(ROUNDS):
         for d in DIMS:
             steps.append(f"r{k}{d} as (select * replace (weight * m{d} / t{d} / sum(weight) over (partition by {d}) as weight) from {last})")
             last = f"r{k}{d}"
+    errors = " union all ".join(f"select max(abs(s / (select sum(weight) from {last}) - m / t)) x from (select sum(weight) s, any_value(m{d}) m, any_value(t{d}) t from {last} group by {d})" for d in DIMS)
     return f"""
-with d as (select doc_id, coalesce(source, '') source, coalesce(lang, '') lang, coalesce(text, '') t from documents),
-e as (select doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::bigint n_tokens, [{letters}] k from d),
-o as (select doc_id, source, lang, '{TOPIC_LETTERS}'[list_position(k, list_max(k))] topic, n_tokens from e),
+with d as (select row_number() over () rid, doc_id, coalesce(source, '') source, coalesce(lang, '') lang, regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\\x20\\x09-\\x0D]+') ws from documents),
+x as (select rid, unnest(ws) w from d),
+terms as (select w, row_number() over (order by n desc, w) place from (select w, count(distinct rid) n from x group by w) where n <= {TERM_SHARE}::double * (select count(*) from d) order by n desc, w limit {TERMS}),
+topics as (select rid, first(w order by k desc, place) topic from (select rid, w, place, count(*) k from x join terms using (w) group by all) group by rid),
+o as (select doc_id, source, lang, coalesce(topic, '') topic, len(ws)::bigint n_tokens from d left join topics using (rid)),
 cells as (select {part}, sum(n_tokens)::bigint tokens from o group by all having sum(n_tokens) > 0),
 {", ".join(f"p{d} as (select {d}, pow(sum(tokens)::double, {POWERS[d]}::double) m{d} from cells group by {d})" for d in DIMS)},
 r0 as (select cells.*, tokens::double weight, {", ".join(f"m{d}, (select sum(m{d}) from p{d}) t{d}" for d in DIMS)} from cells {" ".join(f"join p{d} using ({d})" for d in DIMS)}),
 {", ".join(steps)},
-w as (select {part}, round(weight, 9) cell_weight, round({BUDGET}::double * (select sum(n_tokens) from o)::double * weight / tokens, 6) prob from {last}),
-f as (select o.*, coalesce(cell_weight, 0) cell_weight, coalesce(prob, 0) prob, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{SEED}'), 1, 8))::bigint / 4294967296.0::double u from o left join w using ({part}))
-select doc_id, {part}, n_tokens, cell_weight, prob, (floor(prob) + case when u < prob - floor(prob) then 1 else 0 end)::int copies from f"""
+err as (select round(max(x), 6) margin_error from ({errors})),
+w as (select {part}, round(weight, 9) cell_weight, round({BUDGET}::double * (select sum(n_tokens) from o)::double * weight / tokens, 6) prob, (select margin_error from err) margin_error from {last}),
+f as (select o.*, coalesce(cell_weight, 0) cell_weight, coalesce(prob, 0) prob, coalesce(margin_error, 0) margin_error, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{SEED}'), 1, 8))::bigint / 4294967296.0::double u from o left join w using ({part}))
+select doc_id, {part}, n_tokens, cell_weight, prob, (floor(prob) + case when u < prob - floor(prob) then 1 else 0 end)::int copies, margin_error from f"""
 
 
 OP1_SQL = _sql()
