@@ -3,6 +3,9 @@
 Documents are never gathered: the driver sees only the counts of at most ``capacity`` lengths, packs those
 best fit first from the longest length down, and gives a table of slot ranges (length, ranks, first
 sequence, offset). A piece takes the slot of its rank within its length.
+
+Null and empty texts are one piece with the end id alone. Ties of a length take slots in the order of their ranks; repeated rows are
+packed each; long texts are encoded whole; an empty table gives no pieces; other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -156,7 +159,8 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = parts.sparkSession
     counts = common.stored(parts.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = parts.join(counts.select("length", "part", before.alias("_before")), ["length", "part"]).withColumn("_rank", F.col("rank") + F.col("_before"))
+    bases = counts.select("length", "part", before.alias("_before")).hint("merge")  # a row for each length of each task grows with the documents: no broadcast
+    ranked = parts.join(bases, ["length", "part"]).withColumn("_rank", F.col("rank") + F.col("_before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = spark.createDataFrame(plan(histogram, capacity) or [(0, 0, 0, 0, 1, 0)], "length long, _from long, _to long, _first long, _per long, _base long")
     fits = (F.col("s.length") == F.col("p.length")) & (F.col("p._rank") >= F.col("s._from")) & (F.col("p._rank") < F.col("s._to"))
