@@ -3,7 +3,10 @@
 Features are the hashed one- and two-word n-grams of a text, as shares of its n-grams. A document's score is
 the sparse dot product of its features with the weights, computed in its own row; the weights are an array of
 BUCKETS numbers, however large the corpus. Training uses at most SAMPLE labelled documents of each class, those
-with the least hash of doc_id. Null and empty texts score the bias alone. Without labels every score is 0.5.
+with the least hash of doc_id; the driver gets each one's counts of buckets, so no more than BUCKETS numbers however long the text.
+Null and empty texts score the bias alone. Without labels every score is 0.5. Of repeated labels the larger quality counts, of
+repeated rows of a labelled doc_id the text with the greatest features; every row is scored. An empty table gives no rows. A column
+``score`` of the table is replaced by the operator's (the pipeline's stage keeps the table's own).
 """
 
 from __future__ import annotations
@@ -44,13 +47,10 @@ def feature_ids(text: Column) -> Column:
     return common.let(tokens(text), of)
 
 
-def train(examples: list[tuple[np.ndarray, int]], buckets: int = BUCKETS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Per-coordinate FTRL-proximal over (feature ids, label), in the given order; returns weights and bias."""
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Per-coordinate FTRL-proximal over (buckets, counts, label), in the given order; returns weights and bias."""
     z, n, zb, nb = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0
-    prepared = []
-    for ids, y in examples:
-        idx, count = np.unique(np.asarray(ids, np.int64), return_counts=True)
-        prepared.append((idx, count * (SCALE / max(1, len(ids))), y))
+    prepared = [(idx, count * (SCALE / max(1, count.sum())), y) for idx, count, y in examples]
 
     def weight(zz, nn):
         return -np.sign(zz) * np.maximum(np.abs(zz) - L1, 0) / ((BETA + np.sqrt(nn)) / ALPHA + L2)
@@ -73,7 +73,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Labelled documents outside the held-out fold, at most SAMPLE of each class, gathered to the driver as feature ids."""
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -83,8 +83,10 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray
         return []
     small = spark.createDataFrame([(r["doc_id"], int(r["quality"])) for r in picked], "doc_id long, _y int")  # at most 2 * SAMPLE rows
     rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", "_y", feature_ids(common.text_of("text")).alias("ids")).groupBy("doc_id").agg(F.first("_y").alias("y"), F.max("ids").alias("ids"))
-    got = rows.select("y", "ids", F.xxhash64("doc_id").alias("o"), "doc_id").toArrow().sort_by([("o", "ascending"), ("doc_id", "ascending")])
-    return [(x.values.to_numpy(), y) for x, y in zip(got["ids"], got["y"].to_pylist(), strict=True)]
+    counted = rows.select("doc_id", "y", F.explode_outer("ids").alias("b")).groupBy("doc_id", "y", "b").agg(F.count("b").alias("n"))
+    whole = counted.groupBy("doc_id", "y").agg(F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))).alias("f"))
+    got = whole.select("y", "f.b", "f.n", F.xxhash64("doc_id").alias("o"), "doc_id").toArrow().sort_by([("o", "ascending"), ("doc_id", "ascending")])
+    return [(b.values.to_numpy(), n.values.to_numpy(), y) for b, n, y in zip(got["b"], got["n"], got["y"].to_pylist(), strict=True)]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
