@@ -246,13 +246,14 @@ def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
     return df.select(key, media).mapInPandas(run, f"`{key}` {kind}, {PACKETS}")
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_clusters long, n_cues long"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_clusters long, n_cues long, complete boolean"
 
 
 def features(df: DataFrame, key: str) -> DataFrame:
     """From (key, n_bytes, media): the payload put together from the packets' byte ranges, its digests, and a feature text.
 
-    feature: packets, clusters, cues, last timestamp, sum of samples, changes across the middle level."""
+    feature: packets, clusters, cues, last timestamp, sum of samples, changes across the middle level. ``complete`` is false for a
+    file that ends before its elements do: its payload is what could be read."""
 
     def one(data: bytes) -> tuple:
         import numpy as np
@@ -262,7 +263,7 @@ def features(df: DataFrame, key: str) -> DataFrame:
         wave = np.frombuffer(payload, np.uint8)
         high = wave >= 128
         feature = f"p{len(got['packets'])};c{len(got['clusters'])};q{len(got['cues'])};t{got['packets'][-1][4] if got['packets'] else 0};s{int(wave.sum(dtype=np.int64))};z{int((high[1:] != high[:-1]).sum())}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(got["packets"]), len(got["clusters"]), len(got["cues"])
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(got["packets"]), len(got["clusters"]), len(got["cues"]), got["complete"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
