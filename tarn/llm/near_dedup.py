@@ -138,7 +138,7 @@ def maybe_in(ids: DataFrame, column: str) -> Column:
 
 
 def _sets(docs: DataFrame, k: int, holders: DataFrame) -> DataFrame:
-    """(key, s, pivot) for the holders (doc_id, key, pivot): their shingle sets, once each."""
+    """The written holders (id, key, doc_id, ...) with their shingle sets ``s``, once each: the sets go through one shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -147,11 +147,10 @@ def _sets(docs: DataFrame, k: int, holders: DataFrame) -> DataFrame:
             own = [shingle_set(t, k) for t in pdf["text"]]
             yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "s": [s.view(np.int64) for s in own]})
 
-    holders = common.stored(holders, "holders")
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe_in(holders, "doc_id") | F.col("doc_id").isNull())
     made = near.select("text").mapInPandas(run, "key binary, s array<long>")
     made = common.stored(made, "sets-all")
-    sets = common.stored(made.join(holders.select("key", "pivot"), "key").dropDuplicates(["key"]), "sets")
+    sets = common.stored(made.join(holders.drop("doc_id"), "key").dropDuplicates(["key"]).drop("key"), "sets")
     common.discard(made)
     return sets
 
@@ -160,16 +159,10 @@ def _linked(inter: Column, nx: Column, ny: Column, percent: int) -> Column:
     return inter * 100 >= (nx + ny - inter) * percent
 
 
-def _sized(pairs: DataFrame, sets: DataFrame, left: str, right: str, pivots: bool = False) -> DataFrame:
-    """pairs with the sets of both ends as ``sl`` and ``sr``; with ``pivots`` the right ends are pivots, so only their sets are read again."""
-    one = pairs.join(sets.select(F.col("key").alias(left), F.col("s").alias("sl")), left)
-    other = sets.where("pivot") if pivots else sets
-    return one.join(other.select(F.col("key").alias(right), F.col("s").alias("sr")), right)
-
-
-def _halls(mixed: DataFrame, *keys: str) -> DataFrame:
-    """Adds ``halls``: how many parts the members of a group are dealt over, so that no task compares more than about HALL of them with others."""
-    return mixed.join(mixed.groupBy(*keys).agg((F.count("*") / HALL + 1).cast("int").alias("halls")), list(keys))
+def _sized(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with the sets of both ends as ``sl`` and ``sr``."""
+    one = pairs.join(sets.select(F.col("id").alias(left), F.col("s").alias("sl")), left)
+    return one.join(sets.select(F.col("id").alias(right), F.col("s").alias("sr")), right)
 
 
 def _neighbours(left: DataFrame, right: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -182,19 +175,21 @@ def _neighbours(left: DataFrame, right: DataFrame, keys: list[str], percent: int
     return spread.join(dealt, [*keys, "sz", "hall"])
 
 
-def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame:
-    """Components (node, comp) of the keys that have a link. ``signed`` is the written table of signatures."""
-    nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    banded = common.stored(nodes.select("key", F.explode("bands").alias("band")), "bands")
+def links(docs: DataFrame, k: int, percent: int, nodes: DataFrame) -> DataFrame:
+    """Components (node, comp) of the ids that have a link. ``nodes`` is a written table (id, key, doc_id, bands) of the distinct sets."""
+    banded = nodes.select("id", F.explode("bands").alias("band"))
     full = common.stored(banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "buckets")
     crowded = common.stored(banded.join(full, "band"), "crowded")
-    weight = common.stored(crowded.groupBy("key").agg(F.sum("k").alias("w")), "weights")
-    least = common.stored(crowded.join(weight, "key").groupBy("band").agg(F.max_by("key", "w").alias("p")), "pivots")
-    stars = common.stored(crowded.join(least, "band").where("key <> p").select("p", F.col("key").alias("x")).distinct(), "stars")
-    at = stars.select(F.explode(F.array(F.struct(F.col("p").alias("key"), F.lit(True).alias("pivot")), F.struct(F.col("x").alias("key"), F.lit(False).alias("pivot")))).alias("e")).groupBy("e.key").agg(F.max("e.pivot").alias("pivot"))
-    holders = at.join(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key")
-    sets = _sets(docs, k, holders)
-    seen = _sized(stars, sets, "x", "p", pivots=True).select("p", "x", F.size("sl").alias("n"), F.size("sr").alias("np"), F.array_except("sl", "sr").alias("extra"))
+    weight = common.stored(crowded.groupBy("id").agg(F.sum("k").alias("w")), "weights")
+    least = common.stored(crowded.join(weight, "id").groupBy("band").agg(F.max_by("id", "w").alias("p")), "pivots")
+    stars = common.stored(crowded.join(least, "band").where("id <> p").select("p", F.col("id").alias("x")).distinct(), "stars")
+    common.discard(full, crowded, weight, least)
+    # each node's centres (one a band at most), and whether it is one
+    ends = F.array(F.struct(F.col("x").alias("id"), F.col("p").alias("of")), F.struct(F.col("p").alias("id"), F.lit(None).cast("long").alias("of")))
+    at = stars.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.collect_set("e.of").alias("centres"), F.max(F.col("e.of").isNull()).alias("pivot"))
+    sets = _sets(docs, k, common.stored(at.join(nodes.select("id", "key", "doc_id"), "id"), "holders"))
+    seen = sets.select(F.explode("centres").alias("p"), F.col("id").alias("x"), F.col("s").alias("sl")).join(sets.where("pivot").select(F.col("id").alias("p"), F.col("s").alias("sr")), "p")
+    seen = seen.select("p", "x", F.size("sl").alias("n"), F.size("sr").alias("np"), F.array_except("sl", "sr").alias("extra"))
     seen = seen.withColumn("a", F.size("extra")).withColumn("r", F.col("np") - F.col("n") + F.col("a")).withColumn("near", _linked(F.col("n") - F.col("a"), F.col("n"), F.col("np"), percent))
     seen = common.stored(seen, "compared")
     first = common.stored(graph.components(seen.where("near").select(F.col("p").alias("u"), F.col("x").alias("v"))), "components")
@@ -202,10 +197,11 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
     name = lambda c, out: first.select(F.col("node").alias(c), F.col("comp").alias(out))
     member = seen.join(name("x", "cx"), "x", "left").join(name("p", "cp"), "p", "left").withColumn("cx", F.coalesce("cx", "x")).withColumn("cp", F.coalesce("cp", "p")).withColumn("out", F.col("cx") != F.col("cp"))
     member = common.stored(member, "members")
-    outer = member.where("out")
-    if outer.isEmpty():
+    # how many halls the members of a star with some outside are dealt over, so that no task compares more than about HALL of them with others
+    tally = common.stored(member.groupBy("p").agg((F.count("*") / HALL + 1).cast("int").alias("halls"), F.max("out").alias("any")).where("any").select("p", "halls"), "tally")
+    if tally.isEmpty():
         return first
-    mixed = common.stored(_halls(member.join(outer.select("p").distinct(), "p", "left_semi"), "p"), "mixed")
+    mixed = common.stored(member.join(tally, "p"), "mixed")
     slim = [F.col(c) for c in ("p", "x", "n", "a", "r", "cx", "out")]
     side = lambda df, t: df.select(*(F.col(c).alias(c if c in ("p", "e") else f"{c}{t}") for c in df.columns))
     unmet = F.expr("cx1 <> cx2 and (not out2 or x1 < x2)")
@@ -228,11 +224,13 @@ def links(docs: DataFrame, k: int, percent: int, signed: DataFrame) -> DataFrame
 def _labelled(docs: DataFrame, k: int, percent: int, tag: Column | None = None) -> DataFrame:
     """(doc_id, n_shingles, comp, component_id), and ``tag`` of each row if one is asked for; comp names the class, null for rows without words."""
     signed = common.stored(signatures(docs, k, tag), "signatures")
-    comps = links(docs, k, percent, signed)
-    by_key = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("d")).join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    by_key = common.stored(by_key, "by-key")
-    least = by_key.groupBy("comp").agg(F.min("d").alias("component_id"))
-    label = common.stored(by_key.join(least, "comp").select("key", "comp", "component_id"), "labels")
+    nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = common.stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # short names for the sets, fixed by the written table
+    comps = links(docs, k, percent, nodes)
+    named = nodes.select("id", "key", "doc_id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("doc_id").alias("d"), F.coalesce("comp", "id").alias("comp"))
+    named = common.stored(named, "named")
+    least = named.groupBy("comp").agg(F.min("d").alias("component_id"))
+    label = common.stored(named.join(least, "comp").select("key", "comp", "component_id"), "labels")
     return signed.select("doc_id", "n_shingles", "key", *(["tag"] if tag is not None else [])).join(label, "key", "left")
 
 
