@@ -134,6 +134,7 @@ def maybe_in(ids: DataFrame, column: str) -> Column:
     words = [0] * (1 << log2 - 6)
     for r in rows:
         words[r["w"]] = r["b"]
+    bit = _bit(F.col(column).cast("long"), log2)
     return F.getbit(F.element_at(F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>"), (bit / 64).cast("int") + 1), (bit % 64).cast("int")) == 1
 
 
@@ -245,14 +246,18 @@ def pipeline_stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each class: that with the least doc_id, of equal ids the least digest of the text; null ids come last. Rows
     without words stay. A row is known by its doc_id and text, so rows that share a doc_id are judged apart, and of rows
     that repeat both one stays."""
-    tag = lambda t: F.md5(common.text_of(t))
-    rows = _labelled(docs, k, percent, tag("text")).where("comp is not null").select("doc_id", "tag", "comp")
+    tag = F.md5(common.text_of("text"))
+    rows = _labelled(docs, k, percent, tag).select("doc_id", "tag", "comp")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    first = rows.groupBy("comp").agg(F.min(place).alias("w"))
-    gone = rows.join(first, "comp").where(place != F.col("w")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_gone")).distinct()
-    tagged = docs.withColumn("_tag", tag("text"))
-    left = tagged.join(common.stored(gone, "gone"), (F.col("_tag") == F.col("_gone")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
+    winners = rows.where("comp is not null").groupBy("comp").agg(F.min(place).alias("w")).select(F.col("w.doc_id").alias("wid"), F.col("w.tag").alias("wtag"), F.lit(True).alias("wins"))
+    seen = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("k"), F.max(F.col("comp").isNull()).alias("bare"))
+    judged = seen.join(winners, (F.col("tag") == F.col("wtag")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left").withColumn("gone", F.col("wins").isNull() & ~F.col("bare"))
+    flagged = common.stored(judged.where("gone or k > 1").select(F.col("doc_id").alias("fid"), F.col("tag").alias("ftag"), "gone"), "flagged")
+    doubt = F.coalesce(maybe_in(flagged.select(F.col("fid").alias("doc_id")), "doc_id"), F.lit(True))
+    clear = docs.where(~doubt)
+    rest = docs.where(doubt).withColumn("_tag", tag)
+    left = rest.join(flagged.where("gone"), (F.col("_tag") == F.col("ftag")) & F.col("doc_id").cast("long").eqNullSafe(F.col("fid")), "left_anti")
+    return clear.unionByName(left.dropDuplicates(["doc_id", "_tag"]).select(*docs.columns))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
