@@ -7,8 +7,9 @@ repeated. Fitting works on the table of cells, never on documents: on the driver
 joins with the sums of each dimension beyond that; both give the same weights. What is left of each margin's error after
 ROUNDS rounds is told (``margin_errors``).
 
-Where a table has no ``topic``, a text's topic is the topic term that it has most of. Topic terms are the TERMS words, of the
-lower-cased words of all texts, that the most documents have, of those that at most a share TERM_SHARE of documents has.
+Where a table has no ``topic``, a text's topic is the topic term that it has most of. A term is a stem, the first STEM characters
+of a longer word; topic terms are the TERMS stems, of all texts, that the most documents have, of those that at most a share
+TERM_SHARE of documents has.
 
 Null dimensions, and those that a table lacks, are a value of their own (empty text), as is the topic of a text without a
 topic term; null texts have no tokens. Cells without tokens keep weight 0 and their documents have probability 0. Repeated
@@ -17,6 +18,8 @@ rows share their draw; long texts are read whole; an empty table gives no rows;
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,22 +30,20 @@ DIMS = ("source", "lang", "topic")
 #: Target shares: in proportion to tokens to this power (1: as they are, 0: all alike).
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 ROUNDS, BUDGET, SEED = 15, 0.5, "mix-1"
-TERMS, TERM_SHARE = 16, 0.1
+TERMS, TERM_SHARE, STEM = 16, 0.1, 4
+SPACE, INK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 DRIVER_CELLS = 50_000
 
 
-def lowered_words(text: Column) -> Column:
-    return common.words(F.translate(text, common.UPPER, common.LOWER))
-
-
 def topic_terms(docs: DataFrame, terms: int = TERMS, share: float = TERM_SHARE) -> list[str]:
-    """The words that the most documents have, of those that at most ``share`` of them has, over every text; ties in the order of the words. The driver gets ``terms`` words."""
-    each = docs.select(F.explode(F.array_distinct(lowered_words(common.text_of("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    """The stems that the most documents have, of those that at most ``share`` of them has, over every text; ties in the order of the stems. The driver gets ``terms`` stems."""
+    stems = F.regexp_extract_all(common.text_of("text"), F.lit(f"(?:^|{SPACE})({INK}{{{STEM}}}){INK}"), 1)
+    each = docs.select(F.explode(F.array_distinct(stems)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return [r["w"] for r in each.where(F.col("n") <= F.lit(share) * docs.count()).orderBy(F.desc("n"), "w").limit(terms).collect()]
 
 
-def topic_of(words: Column, terms: list[str]) -> Column:
-    """The term that the words have most of, the first of equals; empty without any."""
+def topic_of(text: Column, terms: list[str]) -> Column:
+    """The term that most words of the text start with, the first of equals; empty without any."""
     if not terms:
         return F.lit("")
     known = F.array(*map(F.lit, terms))
@@ -51,15 +52,14 @@ def topic_of(words: Column, terms: list[str]) -> Column:
         counts = F.transform(known, lambda t: F.size(F.filter(hits, lambda h: h == t)))
         return F.when(F.size(hits) == 0, F.lit("")).otherwise(common.let(counts, lambda c: F.element_at(known, F.array_position(c, F.array_max(c)).cast("int"))))
 
-    return common.let(F.filter(words, lambda w: F.array_contains(known, w)), most)
+    return common.let(F.regexp_extract_all(text, F.lit(f"(?:^|{SPACE})({'|'.join(map(re.escape, terms))})(?={INK})"), 1), most)
 
 
 def described(docs: DataFrame) -> DataFrame:
     """Adds the dimensions without nulls (``_source``...) and ``n_tokens``."""
-    terms = [] if "topic" in docs.columns else topic_terms(docs)
-    read = docs.withColumn("_words", lowered_words(common.text_of("text")))
-    dims = {f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) if d in docs.columns else topic_of(F.col("_words"), terms) if d == "topic" else F.lit("") for d in DIMS}
-    return read.withColumns(dims | {"n_tokens": F.size("_words").cast("long")}).drop("_words")
+    t, terms = common.text_of("text"), [] if "topic" in docs.columns else topic_terms(docs)
+    dims = {f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) if d in docs.columns else topic_of(t, terms) if d == "topic" else F.lit("") for d in DIMS}
+    return docs.withColumns(dims | {"n_tokens": F.regexp_count(t, F.lit(f"{INK}+")).cast("long")})
 
 
 def fitted(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
@@ -134,7 +134,7 @@ def copies(prob: Column, doc_id: Column) -> Column:
 
 def pipeline_stage(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS) -> DataFrame:
     """Documents drawn once at most, with probability min(1, prob)."""
-    own = described(common.wrapped(docs, "doc_id", "text", *(d for d in DIMS if d in docs.columns)))
+    own = common.stored(described(common.wrapped(docs, "doc_id", "text", *(d for d in DIMS if d in docs.columns))).drop("text"), "described")
     mix = probabilities(own, budget, powers)
     kept = own.join(mix, [f"_{d}" for d in DIMS]).where(draw(F.col("doc_id")) < F.col("prob"))
     return common.unwrapped(kept, docs.columns)
@@ -156,8 +156,8 @@ def _sql() -> str:
             last = f"r{k}{d}"
     errors = " union all ".join(f"select max(abs(s / (select sum(weight) from {last}) - m / t)) x from (select sum(weight) s, any_value(m{d}) m, any_value(t{d}) t from {last} group by {d})" for d in DIMS)
     return f"""
-with d as (select row_number() over () rid, doc_id, coalesce(source, '') source, coalesce(lang, '') lang, regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\\x20\\x09-\\x0D]+') ws from documents),
-x as (select rid, unnest(ws) w from d),
+with d as (select row_number() over () rid, doc_id, coalesce(source, '') source, coalesce(lang, '') lang, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+x as (select rid, left(w, {STEM}) w from (select rid, unnest(ws) w from d) where length(w) > {STEM}),
 terms as (select w, row_number() over (order by n desc, w) place from (select w, count(distinct rid) n from x group by w) where n <= {TERM_SHARE}::double * (select count(*) from d) order by n desc, w limit {TERMS}),
 topics as (select rid, first(w order by k desc, place) topic from (select rid, w, place, count(*) k from x join terms using (w) group by all) group by rid),
 o as (select doc_id, source, lang, coalesce(topic, '') topic, len(ws)::bigint n_tokens from d left join topics using (rid)),
