@@ -54,7 +54,7 @@ def registry_problems(entries: DataFrame, key: str, order: str) -> DataFrame:
 def directory_metrics(source: DataFrame, mirror: DataFrame) -> DataFrame:
     """One row over the full join of (path, size): files in both, only here or there, bytes behind, growing."""
     j = source.select("path", F.col("size").alias("a")).join(mirror.select("path", F.col("size").alias("b")), "path", "full")
-    return j.agg(F.count_if("a is not null and b is not null").alias("in_both"), F.count_if("b is null").alias("missing"), F.count_if("a is null").alias("only_mirror"), F.coalesce(F.sum(F.greatest(F.col("a") - F.coalesce("b", F.lit(0)), F.lit(0))), F.lit(0)).alias("bytes_behind"), F.count_if("a > b").alias("growing"))
+    return j.agg(F.count_if(F.expr("a is not null and b is not null")).alias("in_both"), F.count_if(F.expr("b is null")).alias("missing"), F.count_if(F.expr("a is null")).alias("only_mirror"), F.coalesce(F.sum(F.greatest(F.col("a") - F.coalesce("b", F.lit(0)), F.lit(0))), F.lit(0)).alias("bytes_behind"), F.count_if(F.expr("a > b")).alias("growing"))
 
 
 def recall(store, term: str) -> dict:

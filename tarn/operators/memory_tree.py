@@ -76,17 +76,21 @@ def levels(t: int) -> list[int]:
 
 
 def have(built: DataFrame) -> DataFrame:
-    """(size, have): how many blocks of a size are built without a hole from the start. ``built`` has lo and hi."""
-    b = built.select((F.col("hi") - F.col("lo")).alias("size"), "lo").distinct().withColumn("k", (F.col("lo") / F.col("size")).cast("long"))
-    ranked = b.withColumn("r", F.row_number().over(W.partitionBy("size").orderBy("k")) - 1)
-    return ranked.groupBy("size").agg(F.count_if(F.col("r") == F.col("k")).alias("have"))
+    """(size, have): how many blocks of a size are built without a hole from the start. ``built`` has lo and hi.
+
+    That is the least place that follows a built one, or the start, and isn't built: an anti-join and a minimum, so no size is one task's."""
+    b = built.select((F.col("hi") - F.col("lo")).alias("size"), F.col("lo")).select("size", (F.col("lo") / F.col("size")).cast("long").alias("k")).distinct()
+    after = b.select("size", (F.col("k") + 1).alias("k")).unionByName(b.select("size").distinct().withColumn("k", F.lit(0).cast("long")))
+    return after.join(b, ["size", "k"], "left_anti").groupBy("size").agg(F.min("k").alias("have"))
 
 
 def pending(spark: SparkSession, t: int, built: DataFrame, limit: int | None = None) -> DataFrame:
     """(lo, hi) of the blocks to build, smallest first and left to right. A hole makes what was built after it pending again."""
-    sizes = spark.createDataFrame([(n,) for n in levels(t)] or [(0,)], "size bigint").where("size > 0")
-    todo = sizes.join(have(built), "size", "left").withColumn("have", F.coalesce("have", F.lit(0))).withColumn("n", (F.lit(t) / F.col("size")).cast("long")).where("have < n")
-    out = todo.select("size", F.explode(F.sequence("have", F.col("n") - 1)).alias("k")).select((F.col("k") * F.col("size")).alias("lo"), ((F.col("k") + 1) * F.col("size")).alias("hi"))
+    done = {r["size"]: r["have"] for r in have(built).collect()}  # a number for each of at most log2(t) sizes
+    out = spark.range(0).select(F.col("id").alias("lo"), F.col("id").alias("hi"))
+    for n in levels(t):
+        if (first := done.get(n, 0)) < t // n:
+            out = out.unionByName(spark.range(first, t // n).select((F.col("id") * n).alias("lo"), ((F.col("id") + 1) * n).alias("hi")))
     return out if limit is None else out.orderBy(F.col("hi") - F.col("lo"), "lo").limit(limit)
 
 
@@ -136,20 +140,30 @@ def merge_body(lo: int, hi: int, notes: DataFrame, summaries: DataFrame) -> str:
 
 
 def merge_prompt(lo: int, hi: int, body: str, left: int) -> str:
-    tail = "" if not left else "\n1 compression remains after this one." if left == 1 else f"\n{left} compressions remain after this one."
-    return f"Compress memories #{lo}-{hi - 1} into one line of at most 280 bytes.\nKeep what has lasting effect, drop what does not. Invent nothing.\n\n{body}\n{tail}\n"
+    """What a writer is asked for one merge, with how many are left after it."""
+    rest = "" if not left else f"\n({left} more to merge after this.)"
+    return f"Merge notes #{lo} to #{hi - 1} into a single line, {280} bytes at most.\nWhat matters later stays; add nothing.\n\n{body}\n{rest}\n"
 
 
 def build_all(notes: DataFrame, summaries: DataFrame, t: int, writer) -> DataFrame:
-    """Every pending block, level by level: ``writer(texts: Column) -> Column`` turns a block's parts into its line. log2(t) steps, however many blocks."""
-    done = parsed_blocks(summaries).select("lo", "hi", "text")
-    whole = notes.select(F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"), "text")
+    """Every pending block, level by level: ``writer(texts: Column) -> Column`` turns a block's parts into its line. log2(t) steps,
+    however many blocks; each level is written to the shared folder, so that the next one's plan begins there."""
+    from tarn.sources.shared import fresh_folder
+
+    spark, out = notes.sparkSession, []
+    given = parsed_blocks(summaries).select("lo", "hi", "text")
+    parts = notes.select(F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"), "text")
     for n in levels(t):
-        parts = whole if n == 2 else done.where(F.col("hi") - F.col("lo") == n // 2)
-        key = (F.col("lo") - F.col("lo") % n).alias("up")
-        made = parts.select(key, "lo", "text").groupBy("up").agg(F.sort_array(F.collect_list(F.struct("lo", "text"))).alias("x")).where((F.size("x") == 2) & (F.col("up") + n <= t))
-        made = made.select(F.col("up").alias("lo"), (F.col("up") + n).alias("hi"), writer(F.transform("x", lambda x: x["text"])).alias("text"))
-        done = done.unionByName(made.join(done.select("lo", "hi"), ["lo", "hi"], "left_anti"))
+        known = given.where(F.col("hi") - F.col("lo") == n)
+        pairs = parts.select((F.col("lo") - F.col("lo") % n).alias("up"), "lo", "text").groupBy("up").agg(F.sort_array(F.collect_list(F.struct("lo", "text"))).alias("x")).where((F.size("x") == 2) & (F.col("up") + n <= t))
+        made = pairs.select(F.col("up").alias("lo"), (F.col("up") + n).alias("hi"), writer(F.transform("x", lambda x: x["text"])).alias("text"))
+        at = fresh_folder(spark, f"blocks-{n}")
+        known.unionByName(made.join(known.select("lo", "hi"), ["lo", "hi"], "left_anti")).write.parquet(at)
+        parts = spark.read.schema("lo bigint, hi bigint, text string").parquet(at)
+        out.append(parts)
+    done = given.limit(0) if not out else out[0]
+    for level in out[1:]:
+        done = done.unionByName(level)
     return done.select(block_id(F.col("lo"), F.col("hi")).alias("block"), "text", "lo", "hi")
 
 

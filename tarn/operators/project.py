@@ -152,11 +152,25 @@ def n_triples(q: DataFrame, graphs: bool = False) -> DataFrame:
     return q.select(F.concat(angle(F.col("s")), F.lit(" "), angle(F.col("p")), F.lit(" "), o, end).alias("line"))
 
 
-TERM = r"""(<[^>]*>|_:[A-Za-z0-9_.-]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?|<<\( <[^>]*> <[^>]*> (?:<[^>]*>|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>)?) \)>>)"""
+# possessive and unrolled: Java loops over these, where repeated alternations recurse for each character
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+SUFFIX = r"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?"
+TERM = rf"""(<[^>]*>|_:[A-Za-z0-9_.-]+|{QUOTED}{SUFFIX}|<<\( <[^>]*> <[^>]*> (?:<[^>]*>|{QUOTED}{SUFFIX}) \)>>)"""
+
+
+def unescaped(x: Column) -> Column:
+    """The text of a literal as N-Triples writes it. Parted at escaped backslashes, so that the other escapes can't be mistaken."""
+
+    def plain(part: Column) -> Column:
+        for coded, text in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+            part = F.replace(part, F.lit(coded), F.lit(text))
+        return part
+
+    return F.array_join(F.transform(F.split(x, r"\\\\", -1), plain), "\\")
 
 
 def parse_n_quads(lines: DataFrame, default_graph: str | None = None) -> DataFrame:
-    """Quads of N-Triples or N-Quads lines; a line that is neither is an error. Triples go to ``default_graph``."""
+    """Quads of N-Triples or N-Quads lines of any length; a line that is neither is an error. Triples go to ``default_graph``."""
     from tarn.functions.text import trimmed
 
     line = trimmed(F.col("line"))
@@ -165,16 +179,15 @@ def parse_n_quads(lines: DataFrame, default_graph: str | None = None) -> DataFra
     part = lambda k: F.regexp_extract("line", pattern, k)
     bare = lambda x: F.regexp_replace(x, r"^<|>$|^_:", "")
     raw = kept.select("line", part(1).alias("s"), part(2).alias("p"), part(3).alias("t"), part(4).alias("gr"))
-    raw = raw.withColumn("t", F.when(F.col("t") == "", F.raise_error(F.concat(F.lit("not a statement: "), F.col("line")))).otherwise(F.col("t")))
-    value = F.regexp_extract("t", r'(?s)^"((?:[^"\\]|\\.)*)"', 1)
-    plain = value
-    for coded, text in (("\\\\", "\u0001"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\u0001", "\\")):
-        plain = F.replace(plain, F.lit(coded), F.lit(text))
+    raw = raw.withColumn("t", F.when(F.col("t") == "", F.raise_error(F.concat(F.lit("not a statement: "), F.substring("line", 1, 200)))).otherwise(F.col("t")))
+    value = F.regexp_extract("t", rf"^({QUOTED})", 1)
+    plain = unescaped(F.substring(value, F.lit(2), F.length(value) - 2))
     kind = F.when(F.col("t").startswith("<<("), "triple").when(F.col("t").startswith("<"), "iri").when(F.col("t").startswith("_:"), "bnode").otherwise("lit")
-    lang = F.nullif(F.regexp_extract("t", r"(?s)\"@([A-Za-z0-9-]+)$", 1), F.lit(""))
-    dt = F.when(kind == "lit", F.when(lang.isNotNull(), M.LANG).otherwise(F.coalesce(F.nullif(F.regexp_extract("t", r"(?s)\"\^\^<([^>]*)>$", 1), F.lit("")), F.lit(M.STRING))))
-    inner = lambda k: F.regexp_extract("t", r'(?s)^<<\( <([^>]*)> <([^>]*)> [<"](.*?)[>"](?:\^\^<[^>]*>)? \)>>$', k)
-    tt = F.when(kind == "triple", F.struct(inner(1).alias("s"), inner(2).alias("p"), inner(3).alias("o")))
+    lang = F.nullif(F.regexp_extract("t", r"\"@([A-Za-z0-9-]+)$", 1), F.lit(""))
+    dt = F.when(kind == "lit", F.when(lang.isNotNull(), M.LANG).otherwise(F.coalesce(F.nullif(F.regexp_extract("t", r"\"\^\^<([^>]*)>$", 1), F.lit("")), F.lit(M.STRING))))
+    inner = lambda k: F.regexp_extract("t", rf"^<<\( <([^>]*)> <([^>]*)> (<[^>]*>|{QUOTED}){SUFFIX} \)>>$", k)
+    stated = F.when(inner(3).startswith("<"), bare(inner(3))).otherwise(unescaped(F.substring(inner(3), F.lit(2), F.length(inner(3)) - 2)))
+    tt = F.when(kind == "triple", F.struct(inner(1).alias("s"), inner(2).alias("p"), stated.alias("o")))
     o = F.when(kind == "lit", plain).when(kind != "triple", bare(F.col("t")))
     return raw.select(F.coalesce(F.nullif("gr", F.lit("")), F.lit(default_graph).cast("string")).alias("g"), bare(F.col("s")).alias("s"), "p", kind.alias("o_kind"), o.alias("o"), dt.alias("dt"), lang.alias("lang"), tt.alias("tt"))
 

@@ -71,11 +71,6 @@ def store(spark, sf_dir, **options) -> Store:
 
 
 # sources and order
-@query("select conv_id, turn, lag(turn) over (partition by conv_id order by turn) parent, role from conversations")
-def turn_spine(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")).alias("parent"), "role")
-
-
 @query("select conv_id, turn, case when lag(turn) over w + 1 = turn then lag(turn) over w end parent from conversations where turn % 5 <> 3 window w as (partition by conv_id order by turn)")
 def turn_spine_gaps(spark, sf_dir):
     return step_log.spine(table(spark, sf_dir, "conversations").where("turn % 5 <> 3").select("conv_id", "turn"), "conv_id", "turn")
@@ -86,39 +81,20 @@ def gap_list(spark, sf_dir):
     return step_log.gaps(table(spark, sf_dir, "conversations").where("turn % 5 <> 3 and turn % 4 <> 1"), "conv_id", "turn")
 
 
-@query("select conv_id, role as status, count(*) n, count(*) filter (length(text) > 200) truncated from conversations group by all")
-def quality_counters(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.length("text") > 200).alias("truncated"))
-
-
-@query("select event_id, user_id, last_value(case when event_type = 'signup' then value end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) setting from events")
-def setting_forward_fill(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "signup", F.col("value")), ignorenulls=True).over(w).alias("setting"))
-
-
-STEPS = "select event_id, user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as step from events where event_id % 9 <> 4"
+# a purchase leaves a hole after it, so that not every next event is the next step
+STEPS = "select event_id, user_id, event_type, row_number() over w + coalesce(sum((event_type = 'purchase')::int) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as step from events window w as (partition by user_id order by ts, event_id)"
 
 
-@query(f"with s as ({STEPS}), n as (select *, lead(step) over w nx, lead(event_type) over w nt from s window w as (partition by user_id order by step)) select event_id, user_id, step, case when nx = step + 1 and nt = 'view' then nx end result_step from n where event_type = 'click'")
+@query(f"with s as ({STEPS}), n as (select *, lead(step) over w nx, lead(event_type) over w nt from s window w as (partition by user_id order by step)) select user_id, event_type as name, step::bigint at_step, case when nx = step + 1 and nt = 'view' then nx::bigint end result_step from n where event_type in ('click', 'signup')")
 def call_result_links(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("step")
-    e = table(spark, sf_dir, "events").where("event_id % 9 <> 4").withColumn("step", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    n = e.withColumns({"nx": F.lead("step").over(w), "nt": F.lead("event_type").over(w)}).where("event_type = 'click'")
-    return n.select("event_id", "user_id", "step", F.when((F.col("nx") == F.col("step") + 1) & (F.col("nt") == "view"), F.col("nx")).alias("result_step"))
-
-
-@query("""with e as (select *, sum(case when event_type = 'purchase' then 1 else 0 end) over w grp from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)),
-c as (select user_id, grp, event_id call_id, row_number() over (partition by user_id, grp order by ts, event_id) ord from e where event_type = 'click'),
-r as (select user_id, grp, event_id result_id, row_number() over (partition by user_id, grp order by ts, event_id) ord from e where event_type = 'view')
-select c.user_id, call_id, result_id from c join r using (user_id, grp, ord)""")
-def call_result_fifo(spark, sf_dir):
+    """Clicks and sign-ups as steps with one call each, views as steps with a tool's output; the log reader links them."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("grp", F.sum((F.col("event_type") == "purchase").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    nth = F.row_number().over(W.partitionBy("user_id", "grp", "event_type").orderBy("ts", "event_id"))
-    e = e.withColumn("ord", nth)
-    pick = lambda kind, name: e.where(F.col("event_type") == kind).select("user_id", "grp", "ord", F.col("event_id").alias(name))
-    return pick("click", "call_id").join(pick("view", "result_id"), ["user_id", "grp", "ord"]).select("user_id", "call_id", "result_id")
+    holes = F.coalesce(F.sum((F.col("event_type") == "purchase").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    e = table(spark, sf_dir, "events").withColumn("step", F.row_number().over(w) + holes)
+    calls = F.when(F.col("event_type").isin("click", "signup"), F.array(F.struct(F.col("event_type").alias("name"))))
+    kind = F.when(F.col("event_type") == "view", "RUN_COMMAND").otherwise("OTHER")
+    lines = e.select(F.col("user_id").cast("string").alias("conv_id"), F.to_json(F.struct(F.col("step").alias("step_index"), kind.alias("type"), calls.alias("tool_calls"))).alias("value"))
+    return step_log.call_links(lines).select(F.col("conv_id").cast("bigint").alias("user_id"), "name", "at_step", "result_step")
 
 
 @query("with k as (select o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '|' || lpad((o_orderkey % 50)::varchar, 6, '0') v from orders) select o_custkey, arg_min(o_orderkey, o_orderkey) o_orderkey, v version_key from k where (o_custkey, v) in (select (o_custkey, max(v)) from k group by o_custkey) group by o_custkey, v")
@@ -256,9 +232,9 @@ def claim_roundtrip(spark, sf_dir):
     return answers(s, "SELECT ?turn ?kind ?q { GRAPH ?g { ?c rdf:reifies <<( ?turn :exhibits ?kind )>> ; prov:wasDerivedFrom ?a . ?a oa:hasBody ?b . ?b :sig_quality ?q } }", ("q",))
 
 
-@query("with l as (select doc_id, quality from labels), n as (select doc_id, n_chars from documents where n_chars % 2 = 0) select 'd' || doc_id turn, quality::bigint a, n_chars::bigint b from l join n using (doc_id)")
+@query("with l as (select doc_id, quality from labels), n as (select doc_id, n_chars from documents) select 'd' || doc_id turn, quality::bigint a, n_chars::bigint b from l join n using (doc_id)")
 def cross_reader_join(spark, sf_dir):
-    sized = table(spark, sf_dir, "documents").where("n_chars % 2 = 0")
+    sized = table(spark, sf_dir, "documents")
     other = sized.select(F.lit("sizes").alias("reader"), F.lit("size/doc").alias("event_type"), F.lit(None).cast("string").alias("ts"), F.concat(F.lit("d"), "doc_id").alias("event_id"), F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), F.lit("authored").alias("source_kind"), readers.signal(size=readers.int_leg(F.col("n_chars"))).alias("signal"), F.lit("labels").alias("conv_id"))
     s = Store(project.findings(label_findings(spark, sf_dir).unionByName(other)))
     r = answers(s, "SELECT ?t ?a ?b { GRAPH ?g { ?x prov:used ?t ; oa:hasBody ?p . ?p :sig_quality ?a . ?y prov:used ?t ; oa:hasBody ?r . ?r :sig_size ?b } }", ("a", "b"))
@@ -345,24 +321,14 @@ def minus_shared_only(spark, sf_dir):
     return answers(Store(geo(spark, sf_dir)), "SELECT ?name { GRAPH ?g { ?x :name ?name MINUS { ?x :in <graph/Region/1> } MINUS { ?other a :Region } } }")
 
 
-@query(f"select conv_id || ':' || a.turn a, conv_id || ':' || b.turn b from conversations a join conversations b using (conv_id) where b.turn < a.turn and conv_id % 10 = 0")
+@query(f"select conv_id || ':' || a.turn a, conv_id || ':' || b.turn b from conversations a join conversations b using (conv_id) where b.turn < a.turn")
 def path_closure(spark, sf_dir):
-    """The closure of one conversation in ten, as its SQL asks; ``path_closure_all`` has every conversation."""
-    return closure(events(spark, sf_dir).where("cast(conv_id as bigint) % 10 = 0"))
-
-
-def closure(e: DataFrame) -> DataFrame:
-    r = answers(Store(project.turns(e)), "SELECT ?a ?b { ?a :parentTurn+ ?b }")
+    """Every turn with all turns before it, of all conversations."""
+    r = answers(store(spark, sf_dir), "SELECT ?a ?b { ?a :parentTurn+ ?b }")
     cut = lambda c: F.regexp_replace(c, "^.*/Turn/", "").alias(c)
     return r.select(cut("a"), cut("b"))
 
 
-@query()
-def path_closure_all(spark, sf_dir):
-    """Every turn with all turns before it, of all conversations; tested by brute force."""
-    return closure(events(spark, sf_dir))
-
-
 GEO_AXIOMS = [(M.V("Nation"), M.RDFS + "subClassOf", BASE + "base/Place"), (M.V("Region"), M.RDFS + "subClassOf", BASE + "base/Place"), (M.V("in"), M.OWL + "equivalentProperty", BASE + "base/within")]
 
 
@@ -378,17 +344,6 @@ def path_sequence_totals(spark, sf_dir):
     return r.withColumn("balance", F.round(F.col("balance").cast("double"), 2))
 
 
-@query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45)")
-def filter_exists(spark, sf_dir):
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey")
-
-
-@query("select o_orderpriority, count(*) n from orders anti join customer on o_custkey = c_custkey and c_acctbal > 5000 group by all")
-def orders_of_poor(spark, sf_dir):
-    rich = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(rich, "o_custkey", "left_anti").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-
-
 # joins in time
 def sent(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "events").withColumn("at", F.expr("bigint(timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts))"))
@@ -444,7 +399,14 @@ def ranked(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     return hour.join(before, "_h").withColumn(name, inside + F.col("_before")).drop("_h", "_before")
 
 
-@query("""with recursive d as (select lang, doc_id, least(strlen(text), 4005) n, row_number() over (partition by lang order by doc_id) r from documents where text is not null),
+#: Bytes of a clipped text: 3,000 from its start and 1,000 from its end, less what would cut a character, and the mark between them.
+_CONT = "(substr(hex(encode(text)), 2 * ({}) - 1, 2) between '80' and 'BF')"
+_HEAD = f"case when not {_CONT.format(3001)} then 3000 when not {_CONT.format(3000)} then 2999 when not {_CONT.format(2999)} then 2998 else 2997 end"
+_TAIL = "case " + " ".join(f"when not {_CONT.format(f'strlen(text) - 1000 + {k + 1}')} then {1000 - k}" for k in range(3)) + " else 997 end"
+CLIP_SQL = f"case when strlen(text) <= 4000 then strlen(text) else {_HEAD} + strlen(' […] ') + {_TAIL} end"
+
+
+@query(f"""with recursive d as (select lang, doc_id, {CLIP_SQL} n, row_number() over (partition by lang order by doc_id) r from documents where text is not null),
 s as (select lang, doc_id, r, n full_size, 0 stretch from d where r = 1 union all select d.lang, d.doc_id, d.r, case when s.full_size + d.n > 24000 then d.n else s.full_size + d.n end, case when s.full_size + d.n > 24000 then s.stretch + 1 else s.stretch end from s join d on d.lang = s.lang and d.r = s.r + 1)
 select lang, doc_id, stretch from s""")
 def stretches(spark, sf_dir):
@@ -503,10 +465,10 @@ def block_zoom(spark, sf_dir):
     return memory_tree.zoom(spark.range(t // 8 + 1).select((F.col("id") * 8).alias("lo"), (F.col("id") * 8 + 8).alias("hi")), t)
 
 
-@query("with t as (select count(*) t from orders), b as (select k * 2 lo, k * 2 + 2 hi, t from (select unnest(generate_series(0, t // 2 - 1)) k, t from t) where k % 16 = 3), n as (select unnest(list_transform(generate_series(2, 40), lambda i: 1::bigint << i)) n) select lo::bigint lo, hi::bigint hi, (lo - lo % n)::bigint up_lo, (lo - lo % n + n)::bigint up_hi from b, n where lo - lo % n + n <= t")
+@query("with t as (select count(*) t from orders), b as (select k * 2 lo, k * 2 + 2 hi, t from (select unnest(generate_series(0, t // 2 - 1)) k, t from t)), n as (select unnest(list_transform(generate_series(2, 40), lambda i: 1::bigint << i)) n) select lo::bigint lo, hi::bigint hi, (lo - lo % n)::bigint up_lo, (lo - lo % n + n)::bigint up_hi from b, n where lo - lo % n + n <= t")
 def merge_ancestors(spark, sf_dir):
     t = log_size(spark, sf_dir)
-    return memory_tree.ancestors(spark.range(t // 2).where("id % 16 = 3").select((F.col("id") * 2).alias("lo"), (F.col("id") * 2 + 2).alias("hi")), t)
+    return memory_tree.ancestors(spark.range(t // 2).select((F.col("id") * 2).alias("lo"), (F.col("id") * 2 + 2).alias("hi")), t)
 
 
 NOTE_SQL = "n as (select o_orderkey pos, 'm' || o_orderkey id, strftime(o_orderdate, '%Y-%m-%d') ts from orders), b as (select (k * 2) || '-' || (k * 2 + 1) block, k * 2 lo, k * 2 + 2 hi from (select unnest(generate_series(0, (select count(*) from orders) // 2 - 1)) k))"
@@ -586,3 +548,6 @@ def user_sessions(spark, sf_dir):
     gap = F.expr("timestampdiff(MICROSECOND, _before, ts) > 1800000000 or _before is null")
     s = table(spark, sf_dir, "events").withColumn("_before", F.lag("ts").over(w)).withColumn("n", F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return s.groupBy("user_id", "n").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+
+
+from tarn.plans import catalogue_logs  # noqa: E402, F401  its queries register themselves here

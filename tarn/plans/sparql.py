@@ -17,8 +17,9 @@ from tarn.plans.ontology import Ontology
 from tarn.plans.sparql_parser import Query, QueryError, parse
 
 SEP = "\x01"
-NUMBERS = [M.INTEGER, M.DECIMAL, M.XSD + "double", M.XSD + "float", M.XSD + "int", M.XSD + "long"]
-MAX_PATH = 10_000
+WHOLE, BROKEN = [M.INTEGER, M.XSD + "int", M.XSD + "long"], [M.XSD + "double", M.XSD + "float"]
+NUMBERS = [*WHOLE, M.DECIMAL, *BROKEN]
+EXACT = "decimal(38,9)"
 
 
 def encoded(t: tuple) -> str:
@@ -47,9 +48,23 @@ def number(x: Column) -> Column:
     return F.when(datatype(x).isin(NUMBERS), lexical(x).try_cast("double"))
 
 
-def number_literal(n: Column) -> Column:
-    whole = n == F.floor(n)
-    return F.when(whole, literal(F.floor(n).cast("string"), M.INTEGER)).otherwise(literal(n.cast("string"), M.DECIMAL))
+def rank(x: Column) -> Column:
+    """How far a number is from whole: 0 integer, 1 decimal, 2 double; null for what is none."""
+    dt = datatype(x)
+    return F.when(dt.isin(WHOLE), 0).when(dt == M.DECIMAL, 1).when(dt.isin(BROKEN), 2)
+
+
+def exact(x: Column) -> Column:
+    """An integer or decimal without rounding (nine places)."""
+    return F.when(rank(x) < 2, lexical(x).try_cast(EXACT))
+
+
+def number_literal(n: Column, kind: Column, precise: Column | None = None) -> Column:
+    """The literal of a number: by ``precise`` for integers and decimals where it is known, else by the double ``n``."""
+    d = F.coalesce(precise, n.try_cast(EXACT)) if precise is not None else n.try_cast(EXACT)
+    cut = F.regexp_replace(d.cast("string"), r"(\.\d+?)0+$", "$1")
+    whole = F.coalesce(F.floor(d).cast("decimal(38,0)").cast("string"), F.floor(n).cast("string"))
+    return F.when(kind == 0, literal(whole, M.INTEGER)).when(kind == 1, literal(F.coalesce(cut, n.cast("string")), M.DECIMAL)).when(kind == 2, literal(n.cast("string"), M.XSD + "double"))
 
 
 @dataclass
@@ -195,7 +210,8 @@ class Run:
         return Part(out, list(seen))
 
     def path(self, s, p, o, graph) -> Part:
-        pairs = self.pairs(p, graph).select("a", "b")
+        ends = {k: encoded(x) for k, x in (("a", s), ("b", o)) if x[0] not in ("var", "any")}
+        pairs = self.pairs(p, graph, ends).select("a", "b")
         cols = {}
         for x, c in ((s, "a"), (o, "b")):
             if x[0] == "var":
@@ -207,8 +223,8 @@ class Run:
                 pairs = pairs.where(F.col(c) == encoded(x))
         return Part(pairs.select(*(F.col(c).alias(n) for n, c in cols.items())) if cols else pairs.select(F.lit(1).alias("_one")), list(cols))
 
-    def pairs(self, p, graph) -> DataFrame:
-        """(a, b) of a path. Closures are sets; the others are bags."""
+    def pairs(self, p, graph, ends: dict | None = None) -> DataFrame:
+        """(a, b) of a path. Closures are sets; the others are bags. ``ends`` are constants that the caller filters by; a closure starts from one."""
         kind = p[0]
         if kind == "iri":
             part = self.pattern((("var", "a"), p, ("var", "b")), graph)
@@ -229,9 +245,12 @@ class Run:
             return out
         step = self.pairs(p[1], graph).distinct()
         if kind == "plus":
-            return closure(step)
+            return closure(step, ends)
         nodes = self.pattern((("var", "a"), ("var", "_p"), ("var", "b")), graph).df.select(F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("b", F.col("a"))
-        return (closure(step) if kind == "star" else step).unionByName(nodes).distinct()
+        if ends:
+            for k, v in ends.items():
+                nodes = nodes.unionByName(self.store.spark.createDataFrame([(v, v)], "a string, b string")).where(F.col(k) == v)
+        return (closure(step, ends) if kind == "star" else step).unionByName(nodes).distinct()
 
     # joins
     def join(self, left: Part | None, right: Part, how: str = "inner", extra=None) -> Part:
@@ -247,19 +266,44 @@ class Run:
             cond = cond & (same | F.col(n).isNull() | other[n].isNull() if n in left.loose | right.loose else same)
         if extra is not None:
             cond = cond & extra({n: F.coalesce(F.col(n), other[n]) if n in shared else F.col(n) for n in left.names} | {n: c for n, c in other.items() if n not in shared})
-        joined = left.df.join(r, cond, how)
+        loose_shared = [n for n in shared if n in left.loose | right.loose]
+        if how == "inner" and extra is None and 0 < len(loose_shared) <= 3:
+            joined = self.cases(left.df, r, shared, loose_shared, other)
+        else:
+            joined = left.df.join(r, cond, how)
         names = [*left.names, *(n for n in right.names if n not in left.names)]
         out = joined.select(*(F.coalesce(F.col(n), other[n]).alias(n) if n in shared and n in left.loose else F.col(n) for n in left.names), *(other[n].alias(n) for n in right.names if n not in left.names))
         loose = (left.loose & (right.loose | (set(left.names) - set(right.names)))) | (right.loose - set(left.names)) | ({n for n in right.names if n not in left.names} if how == "left" else set()) | (left.loose if how == "left" else set())
         return Part(out, names, loose)
 
+    def cases(self, left: DataFrame, right: DataFrame, shared: list, loose: list, other: dict) -> DataFrame:
+        """An inner join in which some shared variables may be unbound: rows are parted by what is bound on each side, and each part is joined by equality."""
+        from itertools import product
+
+        out = None
+        for how in product(("both", "left", "right"), repeat=len(loose)):  # bound on both sides, unbound on the left, unbound on the right only
+            a, b, keys = left, right, [n for n in shared if n not in loose]
+            for n, h in zip(loose, how, strict=True):
+                a = a.where(F.col(n).isNull() if h == "left" else F.col(n).isNotNull())
+                b = b if h == "left" else b.where(other[n].isNull() if h == "right" else other[n].isNotNull())
+                keys = [*keys, n] if h == "both" else keys
+            cond = F.lit(True)
+            for n in keys:
+                cond = cond & (F.col(n) == other[n])
+            part = a.join(b, cond)
+            out = part if out is None else out.unionByName(part)
+        return out
+
     # groups
     def group(self, items: list, graph=None, left: Part | None = None) -> Part:
         out, filters = left, []
         for item in items:
             kind = item[0]
             if kind == "bgp":
-                for t in item[1]:
+                left_over = list(item[1])
+                while left_over:
+                    t = self.nearest(left_over, set(out.names) if out else set())
+                    left_over.remove(t)
                     out = self.join(out, self.pattern(t, graph))
             elif kind == "filter":
                 filters.append(item[1])
@@ -307,6 +351,16 @@ class Run:
             out = self.filtered(out, f, graph)
         return out
 
+    def nearest(self, patterns: list, bound: set) -> tuple:
+        """The pattern to join next: one that shares a variable with what is there, then the one with the most constants, then as written. A product is made only where nothing connects."""
+
+        def names(x) -> set:
+            return {x[1]} if x[0] == "var" else set().union(*(names(y) for y in x[1:])) if x[0] == "triple" else set()
+
+        own = lambda t: names(t[0]) | names(t[1]) | names(t[2])
+        fixed = lambda t: sum(x[0] in ("iri", "lit") for x in t)
+        return max(patterns, key=lambda t: (bool(own(t) & bound) or not bound, fixed(t), -patterns.index(t)))
+
     def unit(self) -> Part:
         return Part(self.store.spark.range(1).select(F.lit(1).alias("_one")), [])
 
@@ -359,7 +413,7 @@ class Run:
             for item in e[2]:
                 hit = hit | self.compared("=", x, self.term(item, cols))
             return ~hit if e[3] else hit
-        if e[0] == "call" and e[1] in ("CONTAINS", "STRSTARTS", "STRENDS", "REGEX", "BOUND", "ISIRI", "ISURI", "ISLITERAL", "ISBLANK", "ISNUMERIC", "SAMETERM", "LANGMATCHES"):
+        if e[0] == "call" and e[1] in ("CONTAINS", "STRSTARTS", "STRENDS", "REGEX", "BOUND", "ISIRI", "ISURI", "ISLITERAL", "ISBLANK", "ISNUMERIC", "ISTRIPLE", "SAMETERM", "LANGMATCHES"):
             a = [self.term(x, cols) for x in e[2]]
             t = [lexical(x) for x in a]
             match e[1]:
@@ -382,6 +436,8 @@ class Run:
                     return a[0].startswith("_")
                 case "ISLITERAL":
                     return a[0].startswith("L")
+                case "ISTRIPLE":
+                    return a[0].startswith("T")
                 case "ISNUMERIC":
                     return F.when(a[0].isNotNull(), number(a[0]).isNotNull())
                 case "SAMETERM":
@@ -412,9 +468,12 @@ class Run:
                 return cols.get(t[1], F.lit(None).cast("string"))
             return F.lit(encoded(t))
         if e[0] == "op" and e[1] in ("+", "-", "*", "/"):
-            a, b = number(self.term(e[2], cols)), number(self.term(e[3], cols))
-            return number_literal({"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}[e[1]])
-        if e[0] in ("op", "in") or (e[0] == "call" and e[1] in ("CONTAINS", "STRSTARTS", "STRENDS", "REGEX", "BOUND", "ISIRI", "ISURI", "ISLITERAL", "ISBLANK", "ISNUMERIC", "SAMETERM", "LANGMATCHES")):
+            x, y = self.term(e[2], cols), self.term(e[3], cols)
+            do = {"+": lambda p, q: p + q, "-": lambda p, q: p - q, "*": lambda p, q: p * q, "/": F.try_divide}[e[1]]
+            kind = F.greatest(rank(x), rank(y), F.lit(1 if e[1] == "/" else 0))
+            kind = F.when(rank(x).isNotNull() & rank(y).isNotNull(), kind)
+            return number_literal(do(number(x), number(y)), kind, do(exact(x), exact(y)).try_cast(EXACT))
+        if e[0] in ("op", "in") or (e[0] == "call" and e[1] in ("CONTAINS", "STRSTARTS", "STRENDS", "REGEX", "BOUND", "ISIRI", "ISURI", "ISLITERAL", "ISBLANK", "ISNUMERIC", "ISTRIPLE", "SAMETERM", "LANGMATCHES")):
             b = self.truth(e, cols)
             return F.when(b.isNotNull(), literal(b.cast("string"), M.BOOLEAN))
         if e[0] == "agg":
@@ -442,11 +501,11 @@ class Run:
             case "STRBEFORE":
                 return literal(F.when(t[0].contains(t[1]), F.split_part(t[0], t[1], F.lit(1))).otherwise(""))
             case "STRAFTER":
-                return literal(F.when(t[0].contains(t[1]), F.substring(t[0], F.instr(t[0], e[2][1][1][1]) + F.length(t[1]), F.length(t[0]))).otherwise(""))
+                return literal(F.when(t[0].contains(t[1]), F.substring(t[0], F.position(t[1], t[0]) + F.length(t[1]), F.length(t[0]))).otherwise(""))
             case "CONCAT":
                 return literal(F.concat(*t))
             case "REPLACE":
-                return literal(F.regexp_replace(t[0], t[1], t[2]))
+                return literal(F.regexp_replace(t[0], F.concat(F.lit("(?"), t[3], F.lit(")"), t[1]) if len(t) > 3 else t[1], t[2]))
             case "IF":
                 return F.when(self.truth(e[2][0], cols), a[1]).when(~self.truth(e[2][0], cols), a[2])
             case "COALESCE":
@@ -454,12 +513,48 @@ class Run:
             case "IRI" | "URI":
                 return F.concat(F.lit("<"), t[0])
             case "ABS" | "ROUND" | "CEIL" | "FLOOR":
-                return number_literal({"ABS": F.abs, "ROUND": F.round, "CEIL": F.ceil, "FLOOR": F.floor}[name](number(a[0])).cast("double"))
+                return number_literal({"ABS": F.abs, "ROUND": lambda n: F.floor(n + 0.5), "CEIL": F.ceil, "FLOOR": F.floor}[name](number(a[0])).cast("double"), rank(a[0]))
             case "YEAR" | "MONTH" | "DAY":
                 k = {"YEAR": (1, 4), "MONTH": (6, 2), "DAY": (9, 2)}[name]
                 return literal(F.substring(t[0], *k).cast("int").cast("string"), M.INTEGER)
-            case "MD5" | "SHA1" | "SHA256":
-                return literal({"MD5": F.md5, "SHA1": F.sha1, "SHA256": lambda x: F.sha2(x, 256)}[name](t[0]))
+            case "HOURS" | "MINUTES":
+                return literal(F.regexp_extract(t[0], r"T(\d\d):(\d\d)", 1 if name == "HOURS" else 2).try_cast("int").cast("string"), M.INTEGER)
+            case "SECONDS":
+                return literal(F.regexp_replace(F.nullif(F.regexp_extract(t[0], r"T\d\d:\d\d:(\d\d(?:\.\d+)?)", 1), F.lit("")), r"^0(?=\d)", ""), M.DECIMAL)
+            case "TZ" | "TIMEZONE":
+                zone = F.regexp_extract(t[0], r"(Z|[+-]\d\d:\d\d)$", 1)
+                if name == "TZ":
+                    return literal(zone)
+                part = lambda k: F.regexp_extract(zone, r"(\d\d):(\d\d)", k).try_cast("int")
+                spelt = F.concat(F.when(zone.startswith("-"), "-").otherwise(""), F.lit("PT"), F.when(part(1) > 0, F.concat(part(1).cast("string"), F.lit("H"))).otherwise(""), F.when(part(2) > 0, F.concat(part(2).cast("string"), F.lit("M"))).otherwise(""))
+                return F.when(zone != "", literal(F.when((zone == "Z") | zone.isin("+00:00", "-00:00"), "PT0S").otherwise(spelt), M.XSD + "dayTimeDuration"))
+            case "ENCODE_FOR_URI":
+                coded = F.url_encode(t[0])
+                for was, now in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+                    coded = F.replace(coded, F.lit(was), F.lit(now))
+                return literal(coded)
+            case "STRDT":
+                return F.when(datatype(a[0]) == M.STRING, F.concat(F.lit("L"), t[1], F.lit(SEP + SEP), t[0]))
+            case "STRLANG":
+                return F.when(datatype(a[0]) == M.STRING, F.concat(F.lit(f"L{M.LANG}{SEP}"), F.lower(t[1]), F.lit(SEP), t[0]))
+            case "NOW":  # one instant for the whole query
+                return literal(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), M.DATETIME)
+            case "UUID":
+                return F.concat(F.lit("<urn:uuid:"), F.uuid())
+            case "STRUUID":
+                return literal(F.uuid())
+            case "RAND":
+                return literal(F.rand().cast("string"), M.XSD + "double")
+            case "BNODE":  # equal labels in one solution give one node
+                return F.concat(F.lit("_"), F.concat(F.lit("n"), F.md5(F.concat(t[0], F.lit("/"), *(F.coalesce(c, F.lit("")) for c in cols.values())))) if t else F.replace(F.uuid(), F.lit("-"), F.lit("")))
+            case "TRIPLE":
+                return F.when(a[0].startswith("<") & a[1].startswith("<"), F.concat(F.lit("T"), F.concat_ws(SEP, t[0], t[1], t[2])))
+            case "SUBJECT" | "PREDICATE" | "OBJECT":
+                part = F.split_part(F.substring(a[0], F.lit(2), F.length(a[0])), F.lit(SEP), F.lit(1 if name == "SUBJECT" else 2))
+                rest = F.regexp_replace(a[0], "(?s)^T[^\x01]*\x01[^\x01]*\x01", "")
+                return F.when(a[0].startswith("T"), literal(rest) if name == "OBJECT" else F.concat(F.lit("<"), part))
+            case "MD5" | "SHA1" | "SHA256" | "SHA384" | "SHA512":
+                return literal({"MD5": F.md5, "SHA1": F.sha1}.get(name, lambda x: F.sha2(x, int(name[3:])))(t[0]))
         raise QueryError(f"unknown function {name}")
 
     # solution modifiers
@@ -473,14 +568,18 @@ class Run:
     def aggregate(self, e, cols) -> Column:
         _, name, distinct, arg, sep = e
         if name == "COUNT" and arg is None:
-            return literal((F.count_distinct(*cols.values()) if distinct else F.count("*")).cast("string"), M.INTEGER)
+            return literal((F.count_distinct(F.struct(*cols.values())) if distinct else F.count("*")).cast("string"), M.INTEGER)
         x = self.term(arg, cols)
         if name == "COUNT":
             return literal((F.count_distinct(x) if distinct else F.count(x)).cast("string"), M.INTEGER)
         if name in ("SUM", "AVG"):
-            n = number(x)
-            total = (F.sum_distinct(n) if distinct else F.sum(n)) if name == "SUM" else F.avg(n)
-            return number_literal(F.coalesce(total, F.lit(0.0)))
+            n, d, kind = number(x), exact(x), F.coalesce(F.max(rank(x)), F.lit(0))
+            add = F.sum_distinct if distinct else F.sum
+            many = F.count_distinct(n) if distinct else F.count(n)
+            if name == "SUM":
+                return number_literal(F.coalesce(add(n), F.lit(0.0)), kind, F.coalesce(add(d), F.lit(0).cast(EXACT)).try_cast(EXACT))
+            mean = F.coalesce(F.try_divide(add(n), many), F.lit(0.0))
+            return number_literal(mean, F.when(many == 0, 0).otherwise(F.greatest(kind, F.lit(1))))
         if name in ("MIN", "MAX"):
             pick = F.min_by if name == "MIN" else F.max_by
             return pick(x, F.struct(number(x), lexical(x)))
@@ -513,7 +612,9 @@ class Run:
                 keys.append((f"_o{len(keys)}", c, down))
         out = df.select(*(c.alias(n) for c, n in chosen), *(c.alias(n) for n, c, _ in keys))
         names = [n for _, n in chosen]
-        if q.distinct:
+        if q.distinct and keys:  # of equal answers the one that comes first counts, key by key
+            out = out.groupBy(*names).agg(*((F.max if down else F.min)(n).alias(n) for n, _, down in keys))
+        elif q.distinct:
             out = out.distinct()
         if keys:
             out = out.orderBy(*(F.desc_nulls_last(n) if down else F.asc_nulls_first(n) for n, _, down in keys))
@@ -547,22 +648,30 @@ class Run:
         return Result("CONSTRUCT", out, ["s", "p", "o"], self.notes)
 
 
-def closure(step: DataFrame) -> DataFrame:
-    """(a, b): one or more steps of a distinct relation, cycles included, by a recursive query with distinct rounds.
+def closure(step: DataFrame, ends: dict | None = None) -> DataFrame:
+    """(a, b): one or more steps of a distinct relation, cycles included. Lineage is cut by checkpoints.
 
-    Each round joins only the pairs that are new, and lineage is cut by checkpoints."""
+    From a bound end (a term for ``a`` or ``b``) the steps are followed outward, only new pairs joining in each round. Without
+    one, the pairs known are joined with themselves, so the rounds grow with the logarithm of the longest path."""
     spark = step.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
+        from tarn.sources.shared import shared_folder
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-paths-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     step = step.where("a is not null and b is not null").checkpoint()
-    seen = new = step
-    hop = step.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    for _ in range(MAX_PATH):
-        found = new.join(hop, "b").select("a", F.col("c").alias("b")).distinct()
-        new = found.join(seen, ["a", "b"], "left_anti").checkpoint()
-        if new.isEmpty():
-            return seen
+    if not ends:
+        seen, n = step, step.count()
+        while True:
+            further = seen.select("a", F.col("b").alias("m")).join(seen.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+            seen = seen.unionByName(further).distinct().checkpoint()
+            n, before = seen.count(), n
+            if n == before:
+                return seen
+    end, far = ("a", "b") if "a" in ends else ("b", "a")
+    hop = step.select(F.col(end).alias(far), F.col(far).alias("_next"))
+    seen = new = step.where(F.col(end) == ends[end])
+    while not new.isEmpty():
+        found = new.join(hop, far).select(end, F.col("_next").alias(far)).distinct()
+        new = found.join(seen, [end, far], "left_anti").checkpoint()
         seen = seen.unionByName(new).checkpoint()
-    raise QueryError("path is too long")
+    return seen

@@ -10,17 +10,19 @@ from tarn.model import ACTION, OUTCOME
 from tarn.sources import blocks as B
 
 
+CONVERSATION = "uuid string, name string, created_at string, updated_at string, chat_messages array<variant>"
+
+
 def read(spark: SparkSession, dirs: list[str]) -> DataFrame:
-    """(export, uuid, v, version_key) of every conversation in the export folders."""
-    from pathlib import Path
+    """(export, uuid, v, version_key) of every conversation in the export folders.
 
-    parts = [spark.read.option("wholetext", True).text(f"{d}/conversations.json").withColumn("export", F.lit(Path(d).name)) for d in dirs]
+    A file is parsed message by message under CONVERSATION, not as one value, so only a single message is bounded (128 MiB)."""
+    parts = [spark.read.schema(CONVERSATION).option("multiLine", True).json(f"{d.rstrip('/')}/conversations.json").withColumn("export", F.lit(d.rstrip("/").rsplit("/", 1)[-1])) for d in dirs]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    v = F.col("v")
-    out = every.select("export", F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("v"))
-    return out.select("export", B.field(v, "$.uuid").alias("uuid"), v, version_key(B.field(v, "$.updated_at"), F.size(B.listed(v, "$.chat_messages"))).alias("version_key"))
+    own = F.to_variant_object(F.struct("uuid", "name", "created_at", "updated_at", "chat_messages"))
+    return every.select("export", "uuid", own.alias("v"), version_key(F.col("updated_at"), F.coalesce(F.size("chat_messages"), F.lit(0))).alias("version_key"))
 
 
 def version_key(updated_at: Column, messages: Column) -> Column:

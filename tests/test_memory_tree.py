@@ -95,7 +95,7 @@ def test_merge_texts(spark):
     assert tree.merge_body(2, 4, notes, sums) == "  #2 2026-01-01 n2\n  #3 2026-01-01 n3"
     with pytest.raises(ValueError, match="#16-31 is blank"):
         tree.merge_body(0, 32, notes, sums)
-    assert tree.merge_prompt(0, 2, "B", 1).endswith("B\n\n1 compression remains after this one.\n")
+    assert tree.merge_prompt(0, 2, "B", 1).endswith("B\n\n(1 more to merge after this.)\n")
 
 
 def test_log_rows_torn_and_bad(spark):

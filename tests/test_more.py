@@ -133,7 +133,7 @@ def test_writer_asks_again():
     got = writer.ask(lambda p: (next(said), 2, 1), "P", "0-1")
     assert got.line == "fine" and len(got.refused) == 4 and got.tokens_in == 10
     assert writer.ask(lambda p: ("the compression budget is used", 1, 1), "P").line is None
-    assert writer.refusal("é" * 141).startswith("Too long: 282 bytes") and writer.ask(writer.first_words(), "hello\nx").line == "hello"
+    assert writer.refusal("é" * 141).startswith("282 bytes") and writer.ask(writer.first_words(), "hello\nx").line == "hello"
 
 
 def test_failed_conversations_are_named(spark, tmp_path):
@@ -161,3 +161,20 @@ def test_due(spark):
 
     df = spark.sql("select * from values ('a', true, null, null), ('b', false, null, null), ('c', true, timestamp'2026-01-01 10:00:00', null), ('d', true, null, timestamp'2026-01-01 09:30:00'), ('e', true, timestamp'2026-01-01 09:00:00', null) as t(owner, dirty, paused_at, failed_at)")
     assert [r["owner"] for r in due(df, F.lit("2026-01-01 10:10:00").cast("timestamp")).orderBy("owner").collect()] == ["a", "e"]
+
+
+def test_n_quads_of_any_length(spark):
+    texts = ["x" * 10_000_000, '"\\' * 50_000, "a\\nb\n\\", "\\\\t\t\"", "", "\u0001 é"]
+    q = spark.createDataFrame([("g", f"s{i}", "p", "lit", t, M.STRING, None, None) for i, t in enumerate(texts)] + [("g", "c", "p", "triple", None, None, None, ("a", "b", 'say "x" \\ \n'))], M.QUAD)
+    back = project.parse_n_quads(project.n_triples(q, graphs=True))
+    assert {r["s"]: r["o"] for r in back.where("o_kind = 'lit'").collect()} == {f"s{i}": t for i, t in enumerate(texts)}
+    assert back.where("o_kind = 'triple'").first()["tt"]["o"] == 'say "x" \\ \n'
+
+
+def test_channel_tags_of_any_length(spark):
+    from tarn.functions import text as T
+
+    texts = ["<channel " + "x" * 1_000_000, '<channel a="' + "y>" * 500_000 + '">hi</channel>', '<channel from_id="p1">a</channel>', "cd a && " * 50_000 + "ls"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.relabel_channels(F.col("t")).alias("c"), T.strip_cd(F.col("t")).alias("d"))
+    got = df.collect()
+    assert got[0]["c"] == texts[0] and got[1]["c"] == "[message from another agent, unnamed:]hi" and got[2]["c"].endswith("p1:]a") and got[3]["d"] == "ls"
