@@ -18,7 +18,10 @@ from tarn.plans.sparql import Store
 from tarn.sources import export, session_log, step_log
 
 C = F.col
-IDENT = F.concat_ws(":", C("conv_id").cast("string"), C("turn").cast("string"))
+
+
+def ident() -> Column:
+    return F.concat_ws(":", C("conv_id").cast("string"), C("turn").cast("string"))
 
 
 def said(*parts) -> Column:
@@ -44,7 +47,7 @@ def session_lines(spark, sf_dir) -> DataFrame:
     model = F.when(C("role") == "assistant", F.when(C("conv_id") % 4 == 0, "<synthetic>").otherwise(said("model-", C("conv_id") % 3)))
     from tarn.plans.catalogue import TS
 
-    record = lambda content: json(type=C("role"), uuid=IDENT, parentUuid=F.when(C("turn") > 0, said(C("conv_id"), ":", C("turn") - 1)), timestamp=F.expr(TS), cwd=said("/home/", C("conv_id")), message=F.struct("role", content.alias("content"), model.alias("model")))
+    record = lambda content: json(type=C("role"), uuid=ident(), parentUuid=F.when(C("turn") > 0, said(C("conv_id"), ":", C("turn") - 1)), timestamp=F.expr(TS), cwd=said("/home/", C("conv_id")), message=F.struct("role", content.alias("content"), model.alias("model")))
     line = F.when(C("turn") % 2 == 0, record(C("text"))).otherwise(record(blocks))
     lines = F.array(F.struct((C("turn") * 2).alias("line_no"), line.alias("value")), F.struct((C("turn") * 2 + 1).alias("line_no"), F.when(C("turn") % 2 == 0, "  ").otherwise('{"type":"user","uuid":"torn').alias("value")))
     return c.select(C("conv_id").cast("string").alias("conv_id"), F.explode(lines).alias("l")).select("conv_id", "l.*")
@@ -126,7 +129,7 @@ def export_versions(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     word = F.struct(F.lit("text").alias("type"), C("text").alias("text"))
     attached = F.when(C("turn") % 4 == 2, F.array(F.struct(F.lit("f.txt").alias("file_name"), F.lit("in it").alias("extracted_content"))))
-    message = F.struct(C("turn").alias("turn"), IDENT.alias("uuid"), F.when(C("role") == "user", "human").otherwise(C("role")).alias("sender"), F.expr(TS).alias("created_at"), F.array(word).alias("content"), attached.alias("attachments"))
+    message = F.struct(C("turn").alias("turn"), ident().alias("uuid"), F.when(C("role") == "user", "human").otherwise(C("role")).alias("sender"), F.expr(TS).alias("created_at"), F.array(word).alias("content"), attached.alias("attachments"))
     one = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
     made = lambda name, at, m: F.struct(F.lit(name).alias("export"), F.parse_json(json(uuid=C("conv_id").cast("string"), updated_at=F.lit(at), chat_messages=m)).alias("v"), export.version_key(F.lit(at), F.size(m)).alias("version_key"))
     every = F.array(made("e1", "2026-01-01", F.slice("m", 1, 2)), F.when(C("conv_id") % 3 == 0, made("e2", "2026-01-02", C("m"))))
@@ -153,7 +156,7 @@ def export_manifest(spark, sf_dir):
 # ownership, attribution, files
 @query("with n as (select *, 'f' || (conv_id % 4) file from conversations), s as (select conv_id, turn, 'f' || (conv_id % 3) holder from conversations where turn < 3) select n.conv_id, n.turn, n.file from n left join s using (conv_id, turn) where holder is null or holder = file")
 def owned_incremental(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", IDENT.alias("id"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ident().alias("id"))
     new, held = c.withColumn("file", said("f", C("conv_id") % 4)), c.where("turn < 3").withColumn("file", said("f", C("conv_id") % 3))
     return ingest.owned_incremental(new, held, "id", "file").select("conv_id", "turn", "file")
 
@@ -416,7 +419,7 @@ def memory_check(spark, sf_dir):
 select n, 't' || list_min(cites) ts, case when len(cites) = 2 then n || ':1,' || n || ':2' else n || ':' || (cites[1] - 1) end turns from a""")
 def accepted_notes(spark, sf_dir):
     """A writer's notes over each conversation, citing its second and third turns out of order, one of them twice, and one that isn't there."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", IDENT.alias("id"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ident().alias("id"))
     stretch = c.select((C("conv_id") * 1000 + C("turn") + 1).alias("idx"), "id", said("t", C("turn") + 1).alias("ts"))
     asked = c.where("turn in (1, 2)").groupBy("conv_id").agg(F.lit(1).alias("_"))
     base = C("conv_id") * 1000

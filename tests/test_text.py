@@ -23,7 +23,7 @@ def one(spark, f, *values):
         (T.relabel_channels, 'x<channel source="a>b" from_cwd="/q/w/">hi</channel>', "x[message from another agent, w:]hi"), (T.relabel_channels, '<channel from_id="i7">y', "[message from another agent, i7:]y"), (T.relabel_channels, "<channel z>", "[message from another agent, unnamed:]"), (T.relabel_channels, "<channel open", "<channel open"),
         (T.announced_setting, "The user changed setting `Model Selection` from A to B to C. No need x The user changed setting `Model Selection` from C to None. No need", None), (T.announced_setting, "The user changed setting `Model Selection` from A to B to C. No need", "C"),
         (T.escaped, 'a"\\\n\t', 'a\\"\\\\\\n\\t'), (T.question_density, "why? how? when.", 2 / 3), (T.question_density, "?", 1.0), (T.question_density, "", 0.0), (T.code_ratio, "```x``` `y` z", 10 / 13), (T.word_count, " a b  c ", 3), (T.note_error, "x", None), (T.note_error, " ", WHY["empty"]), (T.note_error, '{"a": 1}', WHY["json"]), (T.note_error, "{a", None), (T.note_error, "No line written today", WHY["task"]),
-        (T.note_error, "é" * 141, "282" + WHY["long"].format(limit=280)), (T.note_error, "a\nb", WHY["lines"]), (lambda x: T.clipped_bytes(x), "x" * 5000, 4007), (lambda x: T.clipped_bytes(x), "x" + "é" * 3000, 4005), (lambda x: T.clipped_bytes(x), "x" * 4000, 4000), (T.strip_wrappers, "a<Channel q>x</channel><command-name>b\nCaveat: z", "ab"),
+        (T.note_error, "é" * 141, "282" + WHY["long"].format(limit=280)), (T.note_error, "a\nb", WHY["lines"]), (lambda x: T.clipped_bytes(x), "x" * 5000, 4007), (lambda x: T.clipped_bytes(x), "x" + "é" * 3000, 4006), (lambda x: T.clipped_bytes(x), "x" * 4000, 4000), (T.strip_wrappers, "a<Channel q>x</channel><command-name>b\nCaveat: z", "ab"),
         (lambda x: T.names_term(x, "goat"), "The GOAT.", True), (lambda x: T.names_term(x, "goat"), "goats", False), (peers.cat_path, 'x "$(cat "/t/m.txt")"', "/t/m.txt"), (lambda x: peers.body_of(x, "send to"), "q; send to bob hello you", "hello you"),
     ],
 )
