@@ -97,3 +97,33 @@ def findings(sync: DataFrame) -> DataFrame:
     ]
     lines = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(a).alias("attention"), line.alias("line"))) for when, a, line in rules))
     return sync.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def pass_counts(files: DataFrame, events: DataFrame | None = None) -> dict:
+    """What a pass did, from one row a file (path, state, reason): how many were unchanged, done, superseded or failed, the failures by name (FAILURES at most), and the turns read."""
+    seen = files.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "done", "superseded", "failed"))).first().asDict()
+    named = [f"{r['path']}: {r['reason']}" for r in files.where("state = 'failed'").orderBy("path").limit(FAILURES).collect()]
+    return seen | {"turns": events.count() if events is not None else 0, "failures": named}
+
+
+#: Failures that a report names; the count tells of all.
+FAILURES = 1000
+
+
+def progress(turns: DataFrame, read: DataFrame, notes: DataFrame, summaries: DataFrame, t: int) -> DataFrame:
+    """One row on a memory: turns, turns_read, notes, blocks, pending_blocks and whether it is done. ``t`` is the log's length."""
+    from tarn.operators import memory_tree as tree
+
+    spark = turns.sparkSession
+    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_k", F.lit(1))
+    blocks = tree.parsed_blocks(summaries)
+    parts = [one(turns.select("id").distinct(), "turns"), one(read.select("id").distinct(), "turns_read"), one(notes, "notes"), one(blocks.select("lo", "hi").distinct(), "blocks"), one(tree.pending(spark, t, blocks), "pending_blocks")]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.join(p, "_k")
+    return row.drop("_k").withColumn("done", (F.col("turns") > 0) & (F.col("turns_read") >= F.col("turns")) & (F.col("pending_blocks") == 0))
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """(owner, calls, tokens_in, tokens_out, first, last) from a row for each call of a writer (owner, at, tokens_in, tokens_out)."""
+    return calls.groupBy("owner").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.min("at").alias("first"), F.max("at").alias("last"))

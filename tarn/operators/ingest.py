@@ -30,6 +30,41 @@ def changed(current: DataFrame, manifest: DataFrame, key: str, version: str, pro
     return current.join(known, [key, version], "left_anti")
 
 
+MANIFEST = "path string, length bigint, modified timestamp, hash string, projection_version string, at timestamp"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of each file; empty where nothing was written yet."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(path)
+        rows.schema  # noqa: B018  a path that isn't there shows here
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], MANIFEST)
+    return rows.groupBy("path").agg(*(F.max_by(c, "at").alias(c) for c in ("length", "modified", "hash", "projection_version", "at")))
+
+
+def note_manifest(files: DataFrame, path: str, projection: str = PROJECTION) -> None:
+    """Append files (path, length, modified, hash) that are done; the last row of a path counts."""
+    files.select("path", "length", "modified", "hash", F.lit(projection).alias("projection_version"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def rescanned(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str = "*.jsonl", deep: bool = False, projection: str = PROJECTION) -> DataFrame:
+    """(path, length, modified, hash, state) of every file below a folder: ``unchanged``, or ``todo`` for a new, grown or rewritten one.
+
+    Bytes are read and hashed only where length or time differ from the manifest's, or everywhere with ``deep``: that finds a
+    rewrite in place of the same size and time too."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    known = manifest.where(F.col("projection_version") == projection).select("path", F.col("length").alias("_l"), F.col("modified").alias("_m"), F.col("hash").alias("_h"))
+    listed = raw.select("path", "length", F.col("modificationTime").alias("modified")).join(known, "path", "left")
+    same = (F.col("length") == F.col("_l")) & (F.col("modified") == F.col("_m"))
+    quiet = listed.where(F.coalesce(same & F.lit(not deep), F.lit(False))).select("path", "length", "modified", F.col("_h").alias("hash"), F.lit("unchanged").alias("state"))
+    moved = listed.where(~F.coalesce(same & F.lit(not deep), F.lit(False))).select("path", "_h")
+    hashed = raw.join(moved, "path").select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), "_h")
+    return quiet.unionByName(hashed.withColumn("state", F.when(F.col("hash").eqNullSafe(F.col("_h")), "unchanged").otherwise("todo")).drop("_h"))
+
+
 def owned(rows: DataFrame, ident: str, *order: Column) -> DataFrame:
     """One row for each id: the first by file depth, time and path. Later copies of a turn drop it."""
     w = W.partitionBy(ident).orderBy(*order)

@@ -179,3 +179,23 @@ def check(notes: DataFrame, summaries: DataFrame, turns: DataFrame, t: int) -> D
     for part in (fail(summaries.where(note_error(F.col("text")).isNotNull()), "block text", F.col("block")), fail(bad_id, "block id", F.col("block")), fail(blocks.where(F.col("hi") > t), "past the log", F.col("block")), fail(cited, "unknown turn", F.col("turn")), fail(notes.groupBy("id").count().where("count > 1"), "repeated id", F.col("id"))):
         out = out.unionByName(part)
     return out
+
+
+def append_rows(notes: DataFrame, read: DataFrame, folder: str, dropped: DataFrame | None = None) -> None:
+    """Append a stretch's results: its notes, then what was refused, then the ids of its turns as read.
+
+    In that order: a run that ends between them reads the stretch again, which repeats notes that their ids tell apart, and loses none."""
+    notes.write.mode("append").parquet(f"{folder}/notes")
+    if dropped is not None:
+        dropped.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/dropped")
+    read.select("id").distinct().write.mode("append").parquet(f"{folder}/read")
+
+
+def appended(spark: SparkSession, folder: str, what: str, schema: str, key: str = "id") -> DataFrame:
+    """What ``append_rows`` wrote (notes, read or dropped), each key once; empty where nothing was."""
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/{what}").dropDuplicates([key])
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
