@@ -426,3 +426,65 @@ def accepted_notes(spark, sf_dir):
     answers_ = asked.select(C("conv_id").alias("n"), said("note ", C("conv_id")).alias("text"), F.array(base + 3, base + 2, base + 3, base + 900).alias("cites"))
     r = conversation.accepted_notes(answers_, stretch)
     return r.select("n", "ts", F.array_join("turns", ",").alias("turns"))
+
+
+# passes
+PEERS = ["Ada", "Bob-2", "cyd"]
+
+
+@query("""with c as (select conv_id, turn, ['Ada', 'Bob-2', 'cyd', 'Dan'][conv_id % 4 + 1] n, turn % 5 k from conversations)
+select conv_id, turn, case when n = 'Dan' then null when k < 4 then n end who, case when n <> 'Dan' and k < 4 then '[message from another agent, ' || n || ':]' || chr(10) else '' end || case k when 0 then upper(n) || ' here: ' || turn when 1 then lower(n) || ' -> me: ' || turn when 2 then 'me — ' || n || '. ' || turn when 3 then 'all here (' || n || ') ' || turn else 'x' || chr(10) || n || ' here' end said from c""")
+def typed_senders(spark, sf_dir):
+    n, k = F.element_at(F.array(*map(F.lit, ["Ada", "Bob-2", "cyd", "Dan"])), (C("conv_id") % 4 + 1).cast("int")), C("turn") % 5
+    t = F.when(k == 0, said(F.upper(n), " here: ", C("turn"))).when(k == 1, said(F.lower(n), " -> me: ", C("turn"))).when(k == 2, said("me — ", n, ". ", C("turn"))).when(k == 3, said("all here (", n, ") ", C("turn"))).otherwise(said("x\n", n, " here"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.typed_sender(t, PEERS, "Me").alias("who"), T.relabel_human(t, PEERS, "Me").alias("said"))
+
+
+@query("""with t as (select count(*) t from orders), s as (select count(*) n from events), p as (select sum(t // (1::bigint << i)) n from t, (select unnest(generate_series(1, 40)) i))
+select n::bigint turns, (select count(*) from events where event_id % 3 <> 0) turns_read, t::bigint notes, (t // 2)::bigint blocks, (select n from p)::bigint - t // 2 pending_blocks, false done from t, s""")
+def memory_progress(spark, sf_dir):
+    """A log of all orders with its pairs built, over events of which two thirds were read."""
+    n = table(spark, sf_dir, "orders").count()
+    e = table(spark, sf_dir, "events").select(C("event_id").cast("string").alias("id"))
+    pairs = spark.range(n // 2).select(memory_tree.block_id(C("id") * 2, C("id") * 2 + 2).alias("block"), F.lit("x").alias("text"))
+    return diagnostics.progress(e, e.where("id % 3 <> 0"), _notes(spark, sf_dir), pairs, n)
+
+
+@query("select user_id as owner, count(*) calls, sum(event_id % 100)::bigint tokens_in, sum(event_id % 7)::bigint tokens_out, left(min(ts)::varchar, 19) \"first\", left(max(ts)::varchar, 19) \"last\" from events group by user_id")
+def writer_usage(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return diagnostics.usage(e.select(C("user_id").alias("owner"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), (C("event_id") % 100).alias("tokens_in"), (C("event_id") % 7).alias("tokens_out")))
+
+
+@query("""with e as (select *, user_id % 50 o, repeat('x', (50 * (event_id % 40))::int) txt from events where ts < timestamp '2024-01-30 23:30:00'), l as (select o, count(*) turns, sum(strlen(txt))::bigint bytes, min(ts) oldest from e group by o)
+select o as owner, turns, bytes, case when o % 5 in (1, 2) then 'not-due' when bytes >= 24000 then 'flush-size' when oldest < timestamp '2024-01-30 18:00:00' then 'flush-age' else 'wait' end decision from l""")
+def memory_decisions(spark, sf_dir):
+    """A first pass of the memory loop: what each owner's unread, settled turns lead to."""
+    from tarn.sources.shared import fresh_folder
+    from tarn.streaming import passes
+
+    e = table(spark, sf_dir, "events").select((C("user_id") % 50).alias("owner"), C("event_id").cast("string").alias("id"), "ts", F.repeat(F.lit("x"), (C("event_id") % 40 * 50).cast("int")).alias("text"))
+    now = F.expr("timestamp_ntz'2024-01-31 00:00:00'")
+    paused = F.when(C("id") % 5 == 2, F.expr("timestamp_ntz'2024-01-30 23:45:00'"))
+    state = spark.range(50).select(C("id").alias("owner"), (C("id") % 5 != 1).alias("dirty"), paused.alias("paused_at"), F.lit(None).cast("timestamp_ntz").alias("failed_at"))
+    return passes.memory_pass(e, state, fresh_folder(spark, "memory"), now, lambda rows: rows.select(said("m", C("id")).alias("id"), "owner"))
+
+
+@query(f"with {E_SQL} select conv_id::varchar conv_id, count(*) turns, count(model) modelled from e where role in ('user', 'assistant') group by conv_id")
+def arriving_transcripts(spark, sf_dir):
+    """Session logs that come into a folder in two lots, with a pass after each: the graphs hold every turn once."""
+    from tarn.sources.shared import fresh_folder
+    from tarn.streaming import passes
+
+    src, q = fresh_folder(spark, "logs"), ingest.QuadTable(spark, fresh_folder(spark, "quads"), 8)
+    q.create(turn_quad_table(spark, sf_dir).limit(0))
+    lines = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    from tarn.plans.catalogue import MODEL
+
+    record = json(type=C("role"), uuid=ident(), message=F.struct("role", C("text").alias("content"), F.expr(MODEL).alias("model")))
+    manifest = fresh_folder(spark, "manifest")
+    for lot in (C("turn") <= 1, C("turn") > 1):
+        lines.where(lot).select((C("conv_id") % 8).alias("part"), "conv_id", "turn", record.alias("value")).repartition("part").sortWithinPartitions("conv_id", "turn").select("part", "value").write.mode("append").option("compression", "none").partitionBy("part").text(src)
+        passes.sync_pass(spark, src, q, manifest, dialect="session", pattern="part-*")
+    one = lambda p: F.count_if(C("p") == M.V(p))
+    return q.quads().groupBy(F.regexp_extract("s", "/([0-9]+):", 1).alias("conv_id")).agg(one("turnId").alias("turns"), one("model").alias("modelled"))

@@ -76,7 +76,7 @@ def ingest_pass(spark: SparkSession, folder: str, table: QuadTable, checkpoint:
 FILES_A_ROUND = 5_000
 
 
-def sync_pass(spark: SparkSession, folder: str, table: QuadTable, manifest: str, dialect: str = "session", deep: bool = False, on_events: Callable[[DataFrame], None] | None = None) -> dict:
+def sync_pass(spark: SparkSession, folder: str, table: QuadTable, manifest: str, dialect: str = "session", deep: bool = False, on_events: Callable[[DataFrame], None] | None = None, pattern: str = "*.jsonl") -> dict:
     """One pass over a folder of transcripts that grow or are rewritten: what the manifest doesn't know is read again whole, its graphs are replaced, and then it is noted.
 
     Unchanged files cost a listing. A pass that ends early leaves its files to do; a repeated one changes nothing. Conversations that
@@ -86,7 +86,7 @@ def sync_pass(spark: SparkSession, folder: str, table: QuadTable, manifest: str,
     from tarn.sources.shared import fresh_folder
 
     at = fresh_folder(spark, "scan")
-    ingest.rescanned(spark, folder, ingest.read_manifest(spark, manifest), deep=deep).write.parquet(at)
+    ingest.rescanned(spark, folder, ingest.read_manifest(spark, manifest), pattern, deep).write.parquet(at)
     scan = spark.read.parquet(at)
     rounds = max(1, -(-scan.where("state = 'todo'").count() // FILES_A_ROUND))
     told, failed_files = 0, []
