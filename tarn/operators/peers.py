@@ -39,7 +39,8 @@ def senders(turns: DataFrame, sends: DataFrame) -> DataFrame:
 def spawned(openings: DataFrame, sends: DataFrame) -> DataFrame:
     """Ids of the first inputs (id, me, ts, text) that their own sender opened a helper with just before."""
     t = openings.withColumn("key", F.substring(T.flat(F.col("text")), 1, KEY)).where(F.length("key") >= LEAST)
-    return interval_join(t, sends.where("spawn"), SPAWN_BEFORE, AFTER).where((F.col("sender") == F.col("me")) & F.col("flat").contains(F.col("key"))).select("id").distinct()
+    own = sends.where("spawn").withColumnRenamed("sender", "me")
+    return interval_join(t, own, SPAWN_BEFORE, AFTER, on=["me"]).where(F.col("flat").contains(F.col("key"))).select("id").distinct()
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

@@ -66,6 +66,15 @@ def turn_quad_table(spark, sf_dir) -> DataFrame:
     return project.turns(events(spark, sf_dir))
 
 
+def filed(q: DataFrame) -> Store:
+    """A store over quads that are projected once, into a quad table of their own: patterns read its columns, not the projection."""
+    from tarn.sources.shared import fresh_folder
+
+    t = ingest.QuadTable(q.sparkSession, fresh_folder(q.sparkSession, "filed"), 4)
+    t.create(q)
+    return Store(t.quads(), buckets=4)
+
+
 def store(spark, sf_dir, **options) -> Store:
     return Store(turn_quad_table(spark, sf_dir), **options)
 
@@ -228,7 +237,7 @@ def answers(s: Store, text: str, ints: tuple = ()) -> DataFrame:
 
 @query(f"with {LABEL_SQL} select '{TURN}' || id turn, 'label/doc' kind, quality::bigint q from l")
 def claim_roundtrip(spark, sf_dir):
-    s = Store(project.findings(label_findings(spark, sf_dir)))
+    s = filed(project.findings(label_findings(spark, sf_dir)))
     return answers(s, "SELECT ?turn ?kind ?q { GRAPH ?g { ?c rdf:reifies <<( ?turn :exhibits ?kind )>> ; prov:wasDerivedFrom ?a . ?a oa:hasBody ?b . ?b :sig_quality ?q } }", ("q",))
 
 
@@ -236,14 +245,14 @@ def claim_roundtrip(spark, sf_dir):
 def cross_reader_join(spark, sf_dir):
     sized = table(spark, sf_dir, "documents")
     other = sized.select(F.lit("sizes").alias("reader"), F.lit("size/doc").alias("event_type"), F.lit(None).cast("string").alias("ts"), F.concat(F.lit("d"), "doc_id").alias("event_id"), F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), F.lit("authored").alias("source_kind"), readers.signal(size=readers.int_leg(F.col("n_chars"))).alias("signal"), F.lit("labels").alias("conv_id"))
-    s = Store(project.findings(label_findings(spark, sf_dir).unionByName(other)))
+    s = filed(project.findings(label_findings(spark, sf_dir).unionByName(other)))
     r = answers(s, "SELECT ?t ?a ?b { GRAPH ?g { ?x prov:used ?t ; oa:hasBody ?p . ?p :sig_quality ?a . ?y prov:used ?t ; oa:hasBody ?r . ?r :sig_size ?b } }", ("a", "b"))
     return r.select(F.regexp_replace("t", "^.*/Turn/", "").alias("turn"), "a", "b")
 
 
 @query(f"with {LABEL_SQL} select 'd' || doc_id turn, (doc_id % 300)::bigint n from l where doc_id % 300 > 37")
 def numeric_leg_filter(spark, sf_dir):
-    s = Store(project.findings(label_findings(spark, sf_dir)))
+    s = filed(project.findings(label_findings(spark, sf_dir)))
     r = answers(s, "SELECT ?t ?n { GRAPH ?g { ?a prov:used ?t ; oa:hasTarget ?x . ?x oa:hasSelector ?y . ?y oa:end ?n } FILTER(?n > 37) }", ("n",))
     return r.select(F.regexp_replace("t", "^.*/Turn/", "").alias("turn"), "n")
 
