@@ -40,9 +40,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that ``stored`` wrote, in their order.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again: a short lineage that outlives executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    _written.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,8 +56,22 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables written by ``stored`` that nothing will read again."""
     for df in tables:
         for name in df.inputFiles()[:1]:
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name.rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def swept(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stored`` of what ``make`` gives; the tables that it wrote on the way go once that is written."""
+    before = len(_written)
+    out = stored(make(), name)
+    for path in _written[before:-1]:
+        _delete(spark, path)
+    del _written[before:-1]
+    return out
 
 
 def short_batches(spark: SparkSession) -> None:
