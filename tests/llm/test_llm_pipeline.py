@@ -109,3 +109,15 @@ def test_stages_of_an_empty_table(spark, stage):
     none = common.table(spark, SF, "documents").limit(0).withColumn("extra", F.lit(1))
     out = dict(corpus_pipeline.STAGES)[stage](spark, common.stored(none, "none"), SF)
     assert out.count() == 0 and (stage == "pack" or out.columns == none.columns)
+
+
+def test_run_leaves_the_stages_tables_and_those_of_its_answer(spark):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    out = corpus_pipeline.run(spark, SF)
+    fresh = {p.name.rsplit("-", 1)[0]: p for p in folder.iterdir() if p.name not in before}
+    assert fresh.keys() == {"pieces", "counts", *(f"stage-{n}" for n, _ in corpus_pipeline.STAGES[:-1])}
+    mixed = spark.read.parquet(str(fresh["stage-mix"]))
+    assert out.count() > 0 and out.where("piece = 0").count() == mixed.count() == spark.read.parquet(str(fresh["stage-secrets"])).join(mixed.select("doc_id"), "doc_id", "left_semi").count()
