@@ -17,8 +17,8 @@ from tarn.sources.lines import parsed_lines
 VALUES = "map<string,variant>"
 
 
-def scan(lines: DataFrame, reader: str | None = None) -> DataFrame:
-    """(conv_id, line_no, reader, event_type, ts, anchor, seqs, signal, value). Rows of the reader ``render`` are views and go; torn lines too."""
+def scan(lines: DataFrame, reader: str | None = None, ending: str = "") -> DataFrame:
+    """(conv_id, line_no, reader, event_type, ts, anchor, seqs, signal, value). Rows of the reader ``render`` are views and go; torn lines too. ``ending`` is what a log's name has after its transcript's."""
     v = F.col("v")
     rows = parsed_lines(lines).where(B.field(v, "$.reader").isNotNull()).withColumn("reader", B.field(v, "$.reader")).where("reader <> 'render'")
     rows = rows if reader is None else rows.where(F.col("reader") == reader)
@@ -26,7 +26,7 @@ def scan(lines: DataFrame, reader: str | None = None) -> DataFrame:
     one, many = F.try_variant_get(v, "$.evidence.seq", "bigint"), F.try_variant_get(v, "$.evidence.seqs", "array<bigint>")
     seqs = F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<bigint>"))
     return rows.select(
-        F.regexp_replace("conv_id", r"\.monolog$", "").alias("conv_id"), "line_no", "reader", B.field(v, "$.event_type").alias("event_type"), F.nullif(B.field(v, "$.ts"), F.lit("")).alias("ts"),
+        (F.when(F.col("conv_id").endswith(ending), F.substring("conv_id", F.lit(1), F.length("conv_id") - len(ending))).otherwise(F.col("conv_id")) if ending else F.col("conv_id")).alias("conv_id"), "line_no", "reader", B.field(v, "$.event_type").alias("event_type"), F.nullif(B.field(v, "$.ts"), F.lit("")).alias("ts"),
         F.coalesce(F.try_variant_get(v, "$.anchor", VALUES), empty).alias("anchor"), seqs.alias("seqs"), F.try_variant_get(v, "$.signal", "variant").alias("signal"), "value",
     )
 

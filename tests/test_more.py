@@ -93,8 +93,8 @@ def test_finding_log(spark, tmp_path):
         {"reader": "r", "event_type": "e/x", "ts": "2026-01-01T00:00:00Z", "anchor": {"seq": 4, "src_uuid": "", "turn_id": "t9", "start": 0, "end": 7}, "evidence": {"seqs": [3, 4]}, "signal": {"n": 3, "f": 0.5, "b": True, "s": "x y", "none": None, "confidence": 0.9, "version": 2}},
         {"reader": "r", "anchor": {}, "signal": "plain"}, {"reader": "render", "anchor": {}, "signal": {}},
     ]
-    (tmp_path / "t1.monolog.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"reader": "r", "anch')
-    got = finding_log.scan(lines.read_lines(spark, str(tmp_path)))
+    (tmp_path / "t1.found.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"reader": "r", "anch')
+    got = finding_log.scan(lines.read_lines(spark, str(tmp_path)), ending=".found")
     assert got.count() == 2 and {r["conv_id"] for r in got.collect()} == {"t1"}
     q = finding_log.triples(got.unionByName(got)).collect()
     by = lambda p: sorted((r["o"] or r["tt"]["s"]).rsplit("/", 2)[-1] for r in q if r["p"].endswith(p))
