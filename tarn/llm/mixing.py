@@ -92,12 +92,15 @@ def _fitted_there(cells: DataFrame, powers: dict[str, float], rounds: int) -> Da
         by_value = common.stored(cells.groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), F.lit(powers[d])).alias("m")), "margin")
         whole = by_value.agg(F.coalesce(F.sum("m"), F.lit(1.0))).first()[0]
         out = out.join(by_value.select(f"_{d}", (F.col("m") / F.lit(whole)).alias(f"_m{d}")), f"_{d}")
+    last = None
     for _ in range(rounds):
         for d in powers:
             sums = out.groupBy(f"_{d}").agg(F.sum("weight").alias("_t"))
             out = out.join(sums, f"_{d}").withColumn("weight", F.col("weight") * F.col(f"_m{d}") / F.col("_t")).drop("_t")
-        before, out = out, common.stored(out, "fitting")
-        common.discard(before) if _ else None
+        out = common.stored(out, "fitting")
+        if last is not None:
+            common.discard(last)
+        last = out
     return out.select(*cells.columns, "weight")
 
 
