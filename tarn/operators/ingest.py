@@ -18,10 +18,12 @@ def to_copy(source: DataFrame, mirror: DataFrame) -> DataFrame:
     return source.join(m, "path", "left").where("_size is null or size > _size").drop("_size")
 
 
-def mirror_state(source_size: Column, mirror_size: Column, source_age: Column) -> Column:
-    """Missing, current, growing (written within the live window), growing long (within the lag), or stale."""
-    behind = source_size > mirror_size
-    return F.when(mirror_size.isNull(), "missing").when(~behind, "current").when(source_age <= LIVE_SECONDS, "growing").when(source_age <= LAG_SECONDS, "growing-long").otherwise("stale")
+def mirror_state(source_size: Column, mirror_size: Column, source_age: Column, behind_for: Column) -> Column:
+    """Current where sizes are equal. Else a source written within LIVE_SECONDS is growing, and growing-long once its mirror has been behind for more
+    than LAG_SECONDS; any other is missing without a mirror and stale with one. ``behind_for`` is the mirror's age, or how long the source
+    has had none; null is not long."""
+    live, long = source_age <= LIVE_SECONDS, F.coalesce(behind_for > LAG_SECONDS, F.lit(False))
+    return F.when(source_size == mirror_size, "current").when(live & long, "growing-long").when(live, "growing").when(mirror_size.isNull(), "missing").otherwise("stale")
 
 
 def changed(current: DataFrame, manifest: DataFrame, key: str, version: str, projection: str = PROJECTION) -> DataFrame:

@@ -140,13 +140,13 @@ def manifest_delta(spark, sf_dir):
     return ingest.changed(now, old, "doc_id", "h")
 
 
-MIRROR = "case when b is null then 'missing' when not a > b then 'current' when age <= 1800 then 'growing' when age <= 259200 then 'growing-long' else 'stale' end"
+MIRROR = "case when a = b then 'current' when age <= 1800 and lag > 259200 then 'growing-long' when age <= 1800 then 'growing' when b is null then 'missing' else 'stale' end"
 
 
-@query(f"with f as (select o_orderkey, o_orderkey % 100 a, case when o_orderkey % 11 <> 0 then o_orderkey % 90 end b, (o_orderkey * 37) % 400000 age from orders) select o_orderkey, {MIRROR} state from f")
+@query(f"with f as (select o_orderkey, o_orderkey % 100 a, case when o_orderkey % 11 <> 0 then o_orderkey % 90 end b, (o_orderkey * 37) % 4000 age, case when o_orderkey % 13 <> 0 then (o_orderkey * 91) % 500000 end lag from orders) select o_orderkey, {MIRROR} state from f")
 def mirror_classify(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k, ingest.mirror_state(k % 100, F.when(k % 11 != 0, k % 90), (k * 37) % 400000).alias("state"))
+    return table(spark, sf_dir, "orders").select(k, ingest.mirror_state(k % 100, F.when(k % 11 != 0, k % 90), (k * 37) % 4000, F.when(k % 13 != 0, (k * 91) % 500000)).alias("state"))
 
 
 @query(f"with {Q_SQL} select g, count(*) n from (select distinct * from q) group by g")
