@@ -144,3 +144,19 @@ def stretch_text(turns: DataFrame, group: str, human: str) -> DataFrame:
     said = F.when((F.col("role") == "user") & F.col("kind").isNull(), T.mark_quote_backs(T.relabel_pastes(T.relabel_channels(F.col("text"))))).otherwise(T.relabel_channels(F.col("text")))
     one = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "ts", F.lit(" · "), "place", F.lit("\n"), speaker_line(F.col("role"), F.col("kind"), F.col("peer"), human), F.lit(": "), said)
     return turns.select(group, "stretch", "idx", one.alias("t")).groupBy(group, "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def note_prompt(stretch: Column, human: str, wake: Column | None = None) -> Column:
+    """What a writer is asked for the notes of a stretch's text (``stretch_text``). A session opens with its ``wake``, the memory's lines, and with
+    who speaks how; later stretches, without a wake, follow on."""
+    rules = (
+        f"Turns of 'you' are your own, turns of '{human}' are {human}'s, but for passages marked as pasted or as another agent's; turns under an agent's name are that agent's. "
+        "A line in brackets in your turns is something that you did, with its outcome. The numbers in front are for citing turns only; no note may hold one."
+    )
+    ask = "Write down what of this is worth remembering, in order, if anything is; name the numbers of the turns that each note rests on."
+    opening = F.lit("What comes next.\n\n")
+    if wake is not None:
+        known = F.when(F.coalesce(wake, F.lit("")) == "", "Nothing is remembered yet.").otherwise(wake)
+        first = F.concat(F.lit("You go through your own past in order, as it happened. This is what you remember:\n\n"), known, F.lit(f"\n\nWhat comes next. {rules}\n\n"))
+        opening = F.when(wake.isNull(), opening).otherwise(first)
+    return F.concat(opening, F.coalesce(stretch, F.lit("")), F.lit(f"\n\n{ask}"))

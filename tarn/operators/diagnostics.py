@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,3 +127,85 @@ def progress(turns: DataFrame, read: DataFrame, notes: DataFrame, summaries: Dat
 def usage(calls: DataFrame) -> DataFrame:
     """(owner, calls, tokens_in, tokens_out, first, last) from a row for each call of a writer (owner, at, tokens_in, tokens_out)."""
     return calls.groupBy("owner").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+#: A transcript of a proven folder that was written this lately is copied by the next pass, and so isn't behind.
+SIBLING_SECONDS = 300
+
+
+def slug_core(slug: Column) -> Column:
+    """Letters and digits alone, in lower case: what cosmetic renames leave alike."""
+    return F.lower(F.regexp_replace(slug, "[^A-Za-z0-9]", ""))
+
+
+def siblings(files: DataFrame, current: DataFrame, mirror: DataFrame, here: str) -> DataFrame:
+    """One row for each other folder that holds, or seems to hold, the history of ``here``.
+
+    ``files`` (slug, path, size, age) are the transcripts of the other folders, ``current`` (path) those of this one, ``mirror`` (path, size)
+    what is kept; a path without a slash lies at the top. A folder is proven if the mirror has one of its top transcripts, a date before its
+    name allowed; else it must share the core of its name. Folders without a top transcript are none. One aggregation by folder."""
+    top = ~F.col("path").contains("/")
+    # every end of a kept name that follows a dash, and the name itself, so that dates before it meet by an equi-join
+    words = F.split("path", "-")
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), "-"))
+    named = mirror.where(top).select("size", F.explode(ends).alias("path")).groupBy("path").agg(F.max("size").alias("_dated"))
+    exact = mirror.groupBy("path").agg(F.max("size").alias("_exact"))
+    f = files.join(exact, "path", "left").join(named, "path", "left").join(current.select("path", F.lit(1).alias("_here")).distinct(), "path", "left")
+    f = f.withColumns({"_top": top, "_have": F.coalesce(F.greatest("_exact", F.when(top, F.col("_dated"))), F.lit(0))})
+    behind, live = F.col("_have") < F.col("size"), F.coalesce(F.col("age") < SIBLING_SECONDS, F.lit(False))
+    gap, both = F.col("size") - F.col("_have"), F.col("_here").isNotNull()
+    g = f.groupBy("slug").agg(
+        F.bool_or(F.col("_top") & F.col("_dated").isNotNull()).alias("proven"), F.count_if("_top").alias("sessions"), F.count("*").alias("transcripts"), F.count_if(behind & live).alias("_live"), F.count_if(behind & ~live).alias("_old"),
+        F.coalesce(F.sum(F.when(behind & live, gap)), F.lit(0)).alias("_live_bytes"), F.coalesce(F.sum(F.when(behind & ~live, gap)), F.lit(0)).alias("_old_bytes"), F.count_if(both).alias("in_both"), F.min(F.when(both, F.col("path"))).alias("example"),
+    )
+    kept = g.where((F.col("slug") != here) & (F.col("sessions") > 0) & (F.col("proven") | (slug_core(F.col("slug")) == slug_core(F.lit(here)))))
+    unless = lambda c: F.when(F.col("proven"), F.lit(0)).otherwise(F.col(c))
+    return kept.select("slug", "proven", "sessions", "transcripts", (F.col("_old") + unless("_live")).alias("unmirrored"), (F.col("_old_bytes") + unless("_live_bytes")).alias("unmirrored_bytes"), F.when(F.col("proven"), F.col("_live")).otherwise(0).alias("growing"), "in_both", "example")
+
+
+def _line(df: DataFrame, topic: str, attention: Column, *parts: str | Column) -> DataFrame:
+    said = F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("none")) for p in parts))
+    return df.select(F.lit(topic).alias("topic"), attention.alias("attention"), said.alias("line"))
+
+
+def soul_report(
+    spark: SparkSession, old_places: list[str], files: DataFrame | None, mirrored: DataFrame, others: DataFrame, step_logs: DataFrame, orphans: DataFrame, store: DataFrame | None
+) -> DataFrame:
+    """(topic, attention, line): everything that is to be said of a soul's files, reading only.
+
+    ``old_places`` are folders of an older layout that are still there; ``files`` (size, mirror_size, age, behind_for) the transcripts of its folder, None
+    where it has none; ``mirrored`` a row for each kept transcript; ``others`` of ``siblings``; ``step_logs`` (conv_id, kept) its conversations of that dialect;
+    ``orphans`` conversations of no folder, which are no one soul's fault; ``store`` one row (graphs, turns, latest), None where there is no store.
+    Every part is one aggregation, so the report is as small as the number of folders."""
+    from tarn.operators.ingest import LAG_SECONDS, mirror_state
+
+    c, yes, no = F.col, F.lit(True), F.lit(False)
+    one = spark.range(1)
+    parts = [_line(one, "layout", yes, f"folders of the older layout are left: {', '.join(old_places)}") if old_places else _line(one, "layout", no, "as it should be")]
+    kept = mirrored.agg(F.count("*").alias("n"))
+    steps = step_logs.agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+    if files is None:
+        both = kept.crossJoin(steps.select(c("n").alias("m")))  # one row by one row
+        parts.append(_line(both.where("n > 0"), "mirror", no, "no source folder; ", c("n"), " transcripts are kept"))
+        parts.append(_line(both.where("n = 0 and m > 0"), "mirror", no, "no session logs; ", c("m"), " step logs"))
+        parts.append(_line(both.where("n = 0 and m = 0"), "mirror", yes, "no source folder and no mirror: nothing was ever kept"))
+    else:
+        f = files.withColumn("_s", mirror_state(c("size"), c("mirror_size"), c("age"), c("behind_for")))
+        long = c("_s") == "growing-long"
+        gap = F.greatest(c("size") - F.coalesce("mirror_size", F.lit(0)), F.lit(0))
+        m = f.agg(F.count("*").alias("n"), *(F.count_if(c("_s").startswith(s)).alias(s) for s in ("current", "growing", "stale", "missing")), F.count_if(long).alias("long"), F.max(F.when(long, F.floor(c("behind_for") / 86400))).alias("worst"), F.sum(F.when(long, gap)).alias("bytes"))
+        parts.append(_line(m, "mirror", c("stale") + c("missing") > 0, c("n"), " transcripts: ", c("current"), " current, ", c("growing"), " growing, ", c("stale"), " stale, ", c("missing"), " missing"))
+        parts.append(_line(m.where("long > 0"), "mirror age", yes, c("long"), f" growing transcripts are behind for over {LAG_SECONDS // 86400} days, ", c("worst"), " at worst; ", c("bytes"), " bytes are in one place only"))
+    how = F.when(c("proven"), " (proven): ").otherwise(" (suspected): ")
+    live = F.when(c("growing") > 0, F.concat(F.lit(", "), c("growing").cast("string"), F.lit(" being written"))).otherwise("")
+    parts.append(_line(others.where("unmirrored > 0"), "folders", yes, c("slug"), how, c("unmirrored"), " of ", c("transcripts"), " transcripts are not whole in the mirror, ", c("unmirrored_bytes"), " bytes behind", live))
+    parts.append(_line(others.where("unmirrored = 0"), "folders", no, c("slug"), how, "all ", c("transcripts"), " transcripts are in the mirror", live))
+    parts.append(_line(others.where("in_both > 0"), "folders", yes, c("slug"), ": ", c("in_both"), " transcripts are in the current folder too, ", c("example"), " among them; the mirror keeps the larger"))
+    parts.append(_line(others.agg(F.count("*").alias("n")).where("n = 0"), "folders", no, "no other folder holds this history"))
+    parts.append(_line(steps.where("n > 0"), "step logs", c("n") > c("kept"), c("n"), " conversations: ", c("kept"), " kept, ", c("n") - c("kept"), " never"))
+    parts.append(_line(orphans.agg(F.count("*").alias("n")).where("n > 0"), "orphans", no, c("n"), " conversations on this machine belong to no folder"))
+    parts.append(_line(one, "store", yes, "no store: nothing was ingested") if store is None else _line(store, "store", no, c("graphs"), " graphs, ", c("turns"), " turns, the latest at ", c("latest")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -139,10 +139,16 @@ def merge_body(lo: int, hi: int, notes: DataFrame, summaries: DataFrame) -> str:
     return "\n".join(out)
 
 
-def merge_prompt(lo: int, hi: int, body: str, left: int) -> str:
-    """What a writer is asked for one merge, with how many are left after it."""
+#: The wording that merges are asked for in; what another has written is written again.
+WORDING = "story-1"
+STORY = "Tell it as a short story of your own: who did what, why, and what came of it. Names stay names; what didn't last goes."
+
+
+def merge_prompt(lo: int, hi: int, body: str, left: int, story: bool = False) -> str:
+    """What a writer is asked for one merge, with how many are left after it; with ``story``, how to tell it (WORDING)."""
     rest = "" if not left else f"\n({left} more to merge after this.)"
-    return f"Merge notes #{lo} to #{hi - 1} into a single line, {280} bytes at most.\nWhat matters later stays; add nothing.\n\n{body}\n{rest}\n"
+    told = f"\n{STORY}\n" if story else ""
+    return f"Merge notes #{lo} to #{hi - 1} into a single line, {280} bytes at most.\nWhat matters later stays; add nothing.\n\n{body}\n{rest}\n{told}"
 
 
 def build_all(notes: DataFrame, summaries: DataFrame, t: int, writer) -> DataFrame:
@@ -176,11 +182,52 @@ def check(notes: DataFrame, summaries: DataFrame, turns: DataFrame, t: int) -> D
     bad_id = summaries.join(blocks.select("block").distinct(), "block", "left_anti")
     cited = notes.select("id", F.explode("turns").alias("turn")).join(turns.select(F.col("event_id").alias("turn")).distinct(), "turn", "left_anti")
     out = fail(notes.where(note_error(F.col("text")).isNotNull()), "note text", F.col("id"))
-    for part in (fail(summaries.where(note_error(F.col("text")).isNotNull()), "block text", F.col("block")), fail(bad_id, "block id", F.col("block")), fail(blocks.where(F.col("hi") > t), "past the log", F.col("block")), fail(cited, "unknown turn", F.col("turn")), fail(notes.groupBy("id").count().where("count > 1"), "repeated id", F.col("id"))):
+    for part in (fail(summaries.where(note_error(F.col("text"), F.col("block")).isNotNull()), "block text", F.col("block")), fail(bad_id, "block id", F.col("block")), fail(blocks.where(F.col("hi") > t), "past the log", F.col("block")), fail(cited, "unknown turn", F.col("turn")), fail(notes.groupBy("id").count().where("count > 1"), "repeated id", F.col("id"))):
         out = out.unionByName(part)
     return out
 
 
+def verify(notes: DataFrame, summaries: DataFrame, turns: DataFrame, t: int, stored: DataFrame | None, budget: int | None = 96) -> DataFrame:
+    """(failure, ident): what ``check`` finds, and notes that cite no turn, blocks that are due, lines of the wake without a merge (none asked for
+    where ``budget`` is None), and cited turns (turn) that the store lacks; a missing store is a failure by itself."""
+    fail = lambda df, name, ident: df.select(F.lit(name).alias("failure"), ident.cast("string").alias("ident"))
+    spark, blocks = notes.sparkSession, parsed_blocks(summaries)
+    label = block_id(F.col("lo"), F.col("hi"))
+    out = check(notes, summaries, turns, t).unionByName(fail(notes.where(F.coalesce(F.size("turns"), F.lit(0)) <= 0), "no turn", F.col("id"))).unionByName(fail(pending(spark, t, blocks), "due", label))
+    if budget is not None:
+        out = out.unionByName(fail(cover_frame(spark, t, budget).where("hi - lo > 1").join(blocks.select("lo", "hi"), ["lo", "hi"], "left_anti"), "wake", label))
+    if stored is None:
+        return out.unionByName(fail(spark.range(1), "no store", F.lit(None)))
+    cited = notes.select(F.explode("turns").alias("turn")).distinct()
+    return out.unionByName(fail(cited.join(stored.select("turn").distinct(), "turn", "left_anti"), "not in the store", F.col("turn")))
+
+
+def verify_counts(notes: DataFrame, summaries: DataFrame, failures: DataFrame, t: int, budget: int = 96) -> DataFrame:
+    """One row: notes, blocks, turn_links, wake_lines and failures."""
+    n = notes.agg(F.count("*").alias("notes"), F.coalesce(F.sum(F.greatest(F.size("turns"), F.lit(0))), F.lit(0)).alias("turn_links"))
+    b, f = summaries.agg(F.count("*").alias("blocks")), failures.agg(F.count("*").alias("failures"))
+    return n.crossJoin(b).crossJoin(f).withColumn("wake_lines", F.lit(len(cover(t, budget))).cast("long"))  # rows of one line each
+
+
+def _with_ancestors(bad: DataFrame, built: DataFrame, t: int) -> DataFrame:
+    ups = ancestors(bad, t, built).select(F.col("up_lo").alias("lo"), F.col("up_hi").alias("hi"))
+    return bad.select("lo", "hi").unionByName(ups).distinct().orderBy(F.col("hi") - F.col("lo"), "lo")
+
+
+def to_repair(summaries: DataFrame, t: int) -> DataFrame:
+    """(lo, hi) of the blocks whose text is refused and of every block built on them without a hole, in the order they must be written again."""
+    from tarn.functions.text import note_error
+
+    built = parsed_blocks(summaries)
+    return _with_ancestors(built.where(note_error(F.col("text"), F.col("block")).isNotNull()), built.select("lo", "hi").distinct(), t)
+
+
+def to_reword(summaries: DataFrame, t: int, wording: str = WORDING) -> DataFrame:
+    """(lo, hi) of the blocks that another wording, or none that is known, has written, and of those built on them; smallest first."""
+    built = parsed_blocks(summaries)
+    return _with_ancestors(built.where(~F.col("wording").eqNullSafe(wording)), built.select("lo", "hi").distinct(), t)
+
+
 def append_rows(notes: DataFrame, read: DataFrame, folder: str, dropped: DataFrame | None = None) -> None:
     """Append a stretch's results: its notes, then what was refused, then the ids of its turns as read.
 

@@ -488,3 +488,76 @@ def arriving_transcripts(spark, sf_dir):
         passes.sync_pass(spark, src, q, manifest, dialect="session", pattern="part-*")
     one = lambda p: F.count_if(C("p") == M.V(p))
     return q.quads().groupBy(F.regexp_extract("s", "/([0-9]+):", 1).alias("conv_id")).agg(one("turnId").alias("turns"), one("model").alias("modelled"))
+
+
+# reports
+FOLDERS = ["Here-x", "proven", "other", "nested", "here.x", "both"]
+FOLDER_SQL = """f as (select o_orderkey k, ['Here-x', 'proven', 'other', 'nested', 'here.x', 'both'][o_custkey % 6 + 1] slug, o_orderkey % 100 size, o_orderkey % 600 < 300 live, o_orderkey % 3 <> 0 and o_custkey % 6 <> 3 top from orders),
+h as (select *, case when slug = 'proven' and top and k % 2 = 0 then size + k % 5 - 2 when slug = 'proven' and not top then k % 90 when slug = 'both' then size end have from f),
+g as (select *, coalesce(have, 0) < size behind, size - coalesce(have, 0) gap, slug = 'both' and k % 10 = 1 here, case when top then '' else 'sub/' end || k || '.jsonl' path from h),
+a as (select slug, bool_or(top and have is not null) proven, count(*) filter (top) sessions, count(*) transcripts, count(*) filter (here) in_both, min(path) filter (here) example,
+count(*) filter (behind and not (live and slug <> 'Here-x')) unmirrored, coalesce(sum(gap) filter (behind and not (live and slug <> 'Here-x')), 0)::bigint unmirrored_bytes, count(*) filter (behind and live and slug <> 'Here-x') growing from g where slug in ('Here-x', 'proven', 'both') group by slug)"""
+
+
+def other_folder_rows(spark, sf_dir) -> DataFrame:
+    """Every order as a transcript of one of six folders; what is kept of one has a date before its name."""
+    k, slug = C("k"), F.element_at(F.array(*map(F.lit, FOLDERS)), (C("o_custkey") % 6 + 1).cast("int"))
+    top = (k % 3 != 0) & (C("o_custkey") % 6 != 3)
+    f = table(spark, sf_dir, "orders").select(C("o_orderkey").alias("k"), "o_custkey").select("k", slug.alias("slug"), (k % 100).alias("size"), (k % 600).alias("age"), top.alias("top"), said(F.when(top, "").otherwise("sub/"), k, ".jsonl").alias("path"))
+    proven, both = C("slug") == "proven", C("slug") == "both"
+    have = F.when(proven & C("top") & (k % 2 == 0), C("size") + k % 5 - 2).when(proven & ~C("top"), k % 90).when(both, C("size"))
+    mirror = f.select(F.when(proven & C("top"), said("2026-01-02-", C("path"))).otherwise(C("path")).alias("path"), have.alias("size")).where("size is not null")
+    return diagnostics.siblings(f.select("slug", "path", "size", "age"), f.where(both & (k % 10 == 1)).select("path"), mirror, "here.x")
+
+
+@query(f"with {FOLDER_SQL} select * from a")
+def other_folders(spark, sf_dir):
+    """Folders of other names that hold the history of this one."""
+    return other_folder_rows(spark, sf_dir)
+
+
+@query(f"""with {FOLDER_SQL}, m as (select *, case when a = b then 'current' when age <= 1800 and lag > 259200 then 'growing-long' when age <= 1800 then 'growing' when b is null then 'missing' else 'stale' end s
+from (select o_orderkey % 100 a, case when o_orderkey % 11 <> 0 then o_orderkey % 90 end b, (o_orderkey * 37) % 4000 age, (o_orderkey * 91) % 500000 lag from orders)),
+n as (select count(*) n, count(*) filter (s = 'current') c, count(*) filter (s like 'growing%') g, count(*) filter (s = 'stale') st, count(*) filter (s = 'missing') mi, count(*) filter (s = 'growing-long') long, max(lag // 86400) filter (s = 'growing-long') worst, sum(greatest(a - coalesce(b, 0), 0)) filter (s = 'growing-long') bytes from m),
+w as (select *, slug || case when proven then ' (proven): ' else ' (suspected): ' end how, case when growing > 0 then ', ' || growing || ' being written' else '' end live from a), v as (select distinct conv_id from conversations)
+select 'layout' topic, true attention, 'folders of the older layout are left: store, logs' line union all select 'mirror', st + mi > 0, n || ' transcripts: ' || c || ' current, ' || g || ' growing, ' || st || ' stale, ' || mi || ' missing' from n
+union all select 'mirror age', true, long || ' growing transcripts are behind for over 3 days, ' || worst || ' at worst; ' || bytes || ' bytes are in one place only' from n where long > 0
+union all select 'folders', unmirrored > 0, how || case when unmirrored > 0 then unmirrored || ' of ' || transcripts || ' transcripts are not whole in the mirror, ' || unmirrored_bytes || ' bytes behind' else 'all ' || transcripts || ' transcripts are in the mirror' end || live from w
+union all select 'folders', true, slug || ': ' || in_both || ' transcripts are in the current folder too, ' || example || ' among them; the mirror keeps the larger' from w where in_both > 0
+union all select 'step logs', count(*) filter (conv_id % 5 = 0) > 0, count(*) || ' conversations: ' || count(*) filter (conv_id % 5 <> 0) || ' kept, ' || count(*) filter (conv_id % 5 = 0) || ' never' from v
+union all select 'orphans', false, count(*) || ' conversations on this machine belong to no folder' from v where conv_id % 7 = 0 having count(*) > 0
+union all select 'store', false, count(distinct conv_id) || ' graphs, ' || count(*) || ' turns, the latest at ' || max(turn) from conversations""")
+def soul_report(spark, sf_dir):
+    """The whole report on the files made of the tables."""
+    k = C("o_orderkey")
+    files = table(spark, sf_dir, "orders").select((k % 100).alias("size"), F.when(k % 11 != 0, k % 90).alias("mirror_size"), (k * 37 % 4000).alias("age"), (k * 91 % 500000).alias("behind_for"))
+    c = table(spark, sf_dir, "conversations")
+    v = c.select("conv_id").distinct()
+    stored = c.agg(F.count_distinct("conv_id").alias("graphs"), F.count("*").alias("turns"), F.max("turn").alias("latest"))
+    return diagnostics.soul_report(spark, ["store", "logs"], files, files, other_folder_rows(spark, sf_dir), v.withColumn("kept", C("conv_id") % 5 != 0), v.where("conv_id % 7 = 0"), stored)
+
+
+@query("""with t as (select count(*) t from orders), n as (select o_orderkey k from orders), p as (select unnest(generate_series(0, t // 2 - 1)) k from t), s as (select unnest(list_transform(generate_series(2, 40), lambda i: 1::bigint << i)) n),
+d as (select n, unnest(generate_series(0, t // n - 1)) k from s, t where n <= t) select 'no turn' failure, 'm' || k ident from n where k % 1000 = 7 union all select 'not in the store', 't' || k from n where k % 9 = 0 and k % 1000 <> 7
+union all select 'block text', (2 * k) || '-' || (2 * k + 1) from p where k % 50 = 0 union all select 'due', (k * n) || '-' || (k * n + n - 1) from d""")
+def memory_verify(spark, sf_dir):
+    """A log of all orders with its pairs built, some under their own label; some notes cite nothing, some turns are in no store."""
+    n = table(spark, sf_dir, "orders").count()
+    notes = _notes(spark, sf_dir).withColumn("turns", F.when(C("pos") % 1000 == 7, F.array().cast("array<string>")).otherwise(C("turns")))
+    block = memory_tree.block_id(C("id") * 2, C("id") * 2 + 2)
+    pairs = spark.range(n // 2).select(block.alias("block"), F.when(C("id") % 50 == 0, said("#", block, " x")).otherwise("x").alias("text"))
+    known = table(spark, sf_dir, "orders").select(C("o_orderkey").alias("k"), said("t", C("o_orderkey")).alias("event_id"))
+    return memory_tree.verify(notes, pairs, known, n, known.where("k % 9 <> 0").select(C("event_id").alias("turn")), None)
+
+
+@query("""with t as (select count(*) t from orders), b as (select unnest(generate_series(0, t // 2 - 1)) * 2 lo, t from t), w as (select * from b where lo // 2 % 5 = 0), e as (select lo - lo % 8 lo, t from w where lo - lo % 8 + 8 <= t and lo // 8 % 3 <> 1)
+select lo::bigint lo, (lo + 2)::bigint hi from w union select lo - lo % 4, lo - lo % 4 + 4 from w where lo - lo % 4 + 4 <= t union select lo, lo + 8 from e union select lo - lo % 16, lo - lo % 16 + 16 from e where lo - lo % 16 + 16 <= t""")
+def blocks_to_reword(spark, sf_dir):
+    """Pairs of an older wording or of none, and what is built on them up to the first hole."""
+    n = table(spark, sf_dir, "orders").count()
+    made = None
+    for size in (2, 4, 8, 16):
+        lo, old = C("id") * size, F.when(C("id") % 10 == 0, "old").when(C("id") % 10 != 5, memory_tree.WORDING)
+        level = spark.range(n // size).where("true" if size != 8 else "id % 3 <> 1").select(memory_tree.block_id(lo, lo + size).alias("block"), F.lit("x").alias("text"), (old if size == 2 else F.lit(memory_tree.WORDING)).alias("wording"))
+        made = level if made is None else made.unionByName(level)
+    return memory_tree.to_reword(made, n)
