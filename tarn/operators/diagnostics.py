@@ -89,16 +89,6 @@ def attributed(history: DataFrame, on_disk: DataFrame, mirrored: DataFrame, here
     return mine, held.join(named.select("conv_id").distinct(), "conv_id", "left_anti").select("conv_id")
 
 
-def findings(sync: DataFrame) -> DataFrame:
-    """(attention, line) about a soul's files from one row of metrics: what needs looking at first."""
-    rules = [
-        (F.col("missing") > 0, True, F.concat(F.col("missing").cast("string"), F.lit(" transcripts are not mirrored"))), (F.col("stale") > 0, True, F.concat(F.col("stale").cast("string"), F.lit(" mirrors are behind and nothing is being written"))),
-        (F.col("unattributed") > 0, True, F.concat(F.col("unattributed").cast("string"), F.lit(" conversations belong to no folder"))), (F.col("failed") > 0, True, F.concat(F.col("failed").cast("string"), F.lit(" files failed"))), (F.col("growing") > 0, False, F.concat(F.col("growing").cast("string"), F.lit(" transcripts are being written"))),
-    ]
-    lines = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(a).alias("attention"), line.alias("line"))) for when, a, line in rules))
-    return sync.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("x")).select("x.*")
-
-
 def pass_counts(files: DataFrame, events: DataFrame | None = None) -> dict:
     """What a pass did, from one row a file (path, state, reason): how many were unchanged, done, superseded or failed, the failures by name (FAILURES at most), and the turns read."""
     seen = files.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "done", "superseded", "failed"))).first().asDict()
@@ -182,10 +172,10 @@ def soul_report(
     c, yes, no = F.col, F.lit(True), F.lit(False)
     one = spark.range(1)
     parts = [_line(one, "layout", yes, f"folders of the older layout are left: {', '.join(old_places)}") if old_places else _line(one, "layout", no, "as it should be")]
-    kept = mirrored.agg(F.count("*").alias("n"))
     steps = step_logs.agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
     if files is None:
-        both = kept.crossJoin(steps.select(c("n").alias("m")))  # one row by one row
+        each = lambda df, n: df.select(F.lit(n).alias("x"))
+        both = each(mirrored, 0).unionByName(each(step_logs, 1)).agg(F.count_if(c("x") == 0).alias("n"), F.count_if(c("x") == 1).alias("m"))
         parts.append(_line(both.where("n > 0"), "mirror", no, "no source folder; ", c("n"), " transcripts are kept"))
         parts.append(_line(both.where("n = 0 and m > 0"), "mirror", no, "no session logs; ", c("m"), " step logs"))
         parts.append(_line(both.where("n = 0 and m = 0"), "mirror", yes, "no source folder and no mirror: nothing was ever kept"))

@@ -204,9 +204,10 @@ def verify(notes: DataFrame, summaries: DataFrame, turns: DataFrame, t: int, sto
 
 def verify_counts(notes: DataFrame, summaries: DataFrame, failures: DataFrame, t: int, budget: int = 96) -> DataFrame:
     """One row: notes, blocks, turn_links, wake_lines and failures."""
-    n = notes.agg(F.count("*").alias("notes"), F.coalesce(F.sum(F.greatest(F.size("turns"), F.lit(0))), F.lit(0)).alias("turn_links"))
-    b, f = summaries.agg(F.count("*").alias("blocks")), failures.agg(F.count("*").alias("failures"))
-    return n.crossJoin(b).crossJoin(f).withColumn("wake_lines", F.lit(len(cover(t, budget))).cast("long"))  # rows of one line each
+    each = lambda df, what, links: df.select(F.lit(what).alias("what"), links.cast("long").alias("links"))
+    rows = each(notes, "notes", F.greatest(F.coalesce(F.size("turns"), F.lit(0)), F.lit(0))).unionByName(each(summaries, "blocks", F.lit(0))).unionByName(each(failures, "failures", F.lit(0)))
+    counts = [F.count_if(F.col("what") == what).alias(what) for what in ("notes", "blocks", "failures")]
+    return rows.agg(*counts, F.coalesce(F.sum("links"), F.lit(0)).alias("turn_links"), F.lit(len(cover(t, budget))).cast("long").alias("wake_lines"))
 
 
 def _with_ancestors(bad: DataFrame, built: DataFrame, t: int) -> DataFrame:

@@ -74,11 +74,6 @@ def test_recall(spark):
     assert (r["said"], r["first"], r["months"], r["highest"]["b"], [n["i"] for n in r["latest"]]) == (1, "2026-01-01T00:00:00Z", {"2026-01": 1, "2026-02": 1}, "1", ["0", "1"])
 
 
-def test_findings_lines(spark):
-    row = spark.createDataFrame([(2, 0, 1, 0, 3)], "missing int, stale int, unattributed int, failed int, growing int")
-    assert [r["attention"] for r in diagnostics.findings(row).collect()] == [True, True, False]
-
-
 def test_annotated_only(spark):
     e = spark.createDataFrame([("a",), ("b",)], "event_id string")
     assert ingest.annotated_only(e, spark.createDataFrame([("b",), ("b",)], "event_id string")).count() == 1
