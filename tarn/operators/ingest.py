@@ -52,6 +52,34 @@ def note_manifest(files: DataFrame, path: str, projection: str = PROJECTION) ->
     files.select("path", "length", "modified", "hash", F.lit(projection).alias("projection_version"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
 
 
+#: Fixed value: the key of the line that tells which projection a text manifest was written under.
+PROJECTION_KEY = "#turn-projection"
+
+
+def write_tsv_manifest(rows: DataFrame, path: str, projection: str = PROJECTION) -> None:
+    """(key, value) as sorted lines with a tab between, and a line that tells the projection. A folder of text files, replaced as a whole."""
+    mark = rows.sparkSession.createDataFrame([(PROJECTION_KEY, projection)], "key string, value string")
+    lines = rows.select("key", "value").unionByName(mark).select(F.concat_ws("\t", "key", "value").alias("line"))
+    lines.orderBy("line").write.mode("overwrite").option("compression", "none").text(path)
+
+
+def read_tsv_manifest(spark: SparkSession, path: str, projection: str = PROJECTION) -> DataFrame:
+    """(key, value) of a file or folder of such lines. The value is all after the first tab; lines without one go; of equal keys the largest value counts.
+    Nothing, if there is no such path or it was written under another projection: all is then read again."""
+    none = spark.createDataFrame([], "key string, value string")
+    try:
+        lines = spark.read.text(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return none
+    cut = F.split("value", "\t", 2)
+    rows = lines.where(F.col("value").contains("\t")).select(F.get(cut, F.lit(0)).alias("key"), F.get(cut, F.lit(1)).alias("value"))
+    if rows.where((F.col("key") == PROJECTION_KEY) & (F.col("value") == projection)).isEmpty():
+        return none
+    return rows.where(F.col("key") != PROJECTION_KEY).groupBy("key").agg(F.max("value").alias("value"))
+
+
 def rescanned(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str = "*.jsonl", deep: bool = False, projection: str = PROJECTION) -> DataFrame:
     """(path, length, modified, hash, state) of every file below a folder: ``unchanged``, or ``todo`` for a new, grown or rewritten one.
 

@@ -561,3 +561,13 @@ def blocks_to_reword(spark, sf_dir):
         level = spark.range(n // size).where("true" if size != 8 else "id % 3 <> 1").select(memory_tree.block_id(lo, lo + size).alias("block"), F.lit("x").alias("text"), (old if size == 2 else F.lit(memory_tree.WORDING)).alias("wording"))
         made = level if made is None else made.unionByName(level)
     return memory_tree.to_reword(made, n)
+
+
+@query("select o_orderkey::varchar \"key\", o_orderstatus || chr(9) || o_custkey \"value\" from orders")
+def tsv_manifest(spark, sf_dir):
+    """A manifest of all orders as lines of text, written and read back; values hold tabs."""
+    from tarn.sources.shared import fresh_folder
+
+    at = fresh_folder(spark, "manifest")
+    ingest.write_tsv_manifest(table(spark, sf_dir, "orders").select(said(C("o_orderkey")).alias("key"), said(C("o_orderstatus"), "\t", C("o_custkey")).alias("value")), at)
+    return ingest.read_tsv_manifest(spark, at)

@@ -76,3 +76,13 @@ def test_prompts(spark):
     assert "Nothing is remembered yet." in empty and "#0 d note" in awake and "Ann's" in awake
     assert on.startswith("What comes next.\n\n[1] x\n\n") and "Ann" not in on
     assert tree.merge_prompt(0, 2, "B", 0, story=True).endswith(f"\n{tree.STORY}\n")
+
+
+def test_tsv_manifest(spark, tmp_path):
+    at = str(tmp_path / "m")
+    rows = lambda p: sorted(tuple(r) for r in ingest.read_tsv_manifest(spark, at, p).collect())
+    assert rows("1") == []
+    ingest.write_tsv_manifest(spark.createDataFrame([("b", "2\t3"), ("a", "")], "key string, value string"), at, "1")
+    assert rows("1") == [("a", ""), ("b", "2\t3")] and rows("2") == []
+    (tmp_path / "f.tsv").write_text("a\tx\nno tab\na\ty\n#turn-projection\t5\n")
+    assert [tuple(r) for r in ingest.read_tsv_manifest(spark, str(tmp_path / "f.tsv"), "5").collect()] == [("a", "y")]
