@@ -102,7 +102,8 @@ def ancestors(blocks: DataFrame, t: int, built: DataFrame | None = None) -> Data
     if built is None:
         return ups
     known = ups.join(built.select(F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi"), F.lit(1).alias("ok")), ["up_lo", "up_hi"], "left")
-    w = W.partitionBy("lo", "hi").orderBy("up_hi").rowsBetween(W.unboundedPreceding, 0)
+    # by size, not by end: larger and smaller blocks may end at one place
+    w = W.partitionBy("lo", "hi").orderBy(F.col("up_hi") - F.col("up_lo")).rowsBetween(W.unboundedPreceding, 0)
     return known.withColumn("holes", F.count_if(F.col("ok").isNull()).over(w)).where("holes = 0").select("lo", "hi", "up_lo", "up_hi")
 
 
